@@ -24,8 +24,13 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+#: Arrow batches to and from Python workers; rows of long texts are few in one, so that a worker's memory is bounded.
+BATCH_BYTES = 4 << 20
+
+
 def in_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 

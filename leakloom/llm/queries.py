@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakloom.llm import chat_format, packing, trie_bpe
+from leakloom.llm import chat_format, packing, secret_scan, simhash, trie_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +27,24 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4).withColumnRenamed("id", "doc_id")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scan(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    counts = [secret_scan.counted(F.col("spans"), k).alias(f"n_{k}") for k in secret_scan.KINDS]
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.written(base).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trie_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_best_fit_packing, op10_trie_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op4_best_fit_packing, op5_simhash_near_dup, op7_secret_scan, op10_trie_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

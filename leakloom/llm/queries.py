@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakloom.llm import chat_format, embedding_dedup, exact_topk, packing, secret_scan, simhash, trie_bpe
+from leakloom.llm import chat_format, embedding_dedup, exact_topk, packing, quality, secret_scan, simhash, trie_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,13 +46,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.written(base).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trie_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_embedding_near_dedup, op4_best_fit_packing, op5_simhash_near_dup, op6_exact_top_k, op7_secret_scan, op10_trie_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op3_embedding_near_dedup, op4_best_fit_packing, op5_simhash_near_dup, op6_exact_top_k, op7_secret_scan, op9_quality_classifier, op10_trie_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

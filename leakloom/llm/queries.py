@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakloom.llm import chat_format, embedding_dedup, exact_topk, packing, quality, secret_scan, simhash, trie_bpe
+from leakloom.llm import chat_format, embedding_dedup, exact_topk, language_id, packing, quality, secret_scan, simhash, trie_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.written(base).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
@@ -56,7 +61,7 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_embedding_near_dedup, op4_best_fit_packing, op5_simhash_near_dup, op6_exact_top_k, op7_secret_scan, op9_quality_classifier, op10_trie_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op3_embedding_near_dedup, op4_best_fit_packing, op5_simhash_near_dup, op6_exact_top_k, op7_secret_scan, op8_language_id, op9_quality_classifier, op10_trie_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1 +1,72 @@
-STAGES = []
+"""A corpus pipeline of five stages, each calling one operator of the subpackage.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written
+as Parquet and read again as the next one's docs. Every stage works on all rows that
+the one before it kept.
+"""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leakloom.llm import packing, secret_scan, simhash, toxicity
+from leakloom.llm import quality as quality_scores
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    stats = quality_scores.checkpointed(quality_scores.document_statistics(docs))
+    return quality_scores.kept(docs, quality_scores.fit(stats, _labels(spark, sf_dir), "quality"))
+
+
+def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.kept(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of the smallest id."""
+    return simhash.deduplicated(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; all documents stay."""
+    return secret_scan.redact(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces in sequences of at most 1024 tokens."""
+    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality), ("toxicity", nontoxic), ("simhash", deduplicated), ("secrets", without_secrets), ("packing", packed)]
+
+#: SQL can't express the classifiers, fingerprints and tokens; tests hold each stage against a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; what stands between them lies in the shared checkpoint folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = _shared_folder(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{folder}/pipeline-{uuid4().hex}-{k}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    return context.getConf().get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_pipeline"

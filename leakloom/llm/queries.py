@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakloom.llm import chat_format, embedding_dedup, exact_topk, language_id, packing, quality, secret_scan, simhash, trie_bpe
+from leakloom.llm import chat_format, embedding_dedup, exact_topk, language_id, packing, quality, secret_scan, simhash, toxicity, trie_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns)).withColumnRenamed("conv", "conv_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -60,8 +65,14 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_embedding_near_dedup, op4_best_fit_packing, op5_simhash_near_dup, op6_exact_top_k, op7_secret_scan, op8_language_id, op9_quality_classifier, op10_trie_bpe)}
+    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, op5_simhash_near_dup, op6_exact_top_k, op7_secret_scan, op8_language_id, op9_quality_classifier, op10_trie_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakloom.llm.common import in_batches, narrow
@@ -215,6 +215,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one is left of each group of near-duplicates.
+
+    That is the one with the group's smallest id; of several rows with this id, the one
+    whose text comes first. Rows without an id have nothing to be told apart by and stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, budget)
+    first = found.filter("id = component_id").select(F.col("id").alias("_kept")).distinct()
+    left = docs.join(first, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
+    several = left.groupBy(F.col(id_col)).count().filter("count > 1").select(F.col(id_col).alias("_several"))
+    if several.isEmpty():
+        return left.unionByName(docs.filter(docs[id_col].isNull()))
+    order = Window.partitionBy(id_col).orderBy(F.coalesce(F.col(text_col), F.lit("")))
+    return left.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").unionByName(docs.filter(docs[id_col].isNull()))
+
+
 def _same_id(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the nodes of one id that stands in several rows."""
     several = prints.groupBy("id").agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")).filter("low <> high and id is not null").select("id")

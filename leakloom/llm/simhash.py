@@ -19,6 +19,7 @@ every probe in a task of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,29 +36,48 @@ SEED = 42
 SHINGLE = 5
 BUDGET = 4
 BLOCK = 4096
+#: For a given similarity: found at least so often right there; segments of a chain that are checked.
+SIMILARITY = 0.8
+RECALL = 0.9
+CHAIN = 3
+#: Shingles that are hashed at a time.
+HASHED = 1 << 16
 #: Pairs that are compared at a time.
 PAIRS = 1 << 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """A text's fingerprint, unsigned; zero for a text without words.
+def fingerprint_words(text: str, shingle: int = SHINGLE, bits: int = 64) -> np.ndarray:
+    """A text's fingerprint as 64-bit words; all zero for a text without words.
 
     Words are what ASCII white space leaves of the text with A-Z in lower case. A bit is
-    set if it is in over half the shingles' XXH64, repeats included.
+    set if it is in over half the shingles' hashes, repeats included. The first 64 bits
+    of a hash are the shingle's XXH64, the others are mixed from it.
     """
     words = text.encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(bits // 64, np.uint64)
     total = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(bits, np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for first in range(0, total, 1 << 16):
-        part = words[first : min(first + (1 << 16), total) + shingle - 1]
+    for first in range(0, total, HASHED):
+        part = words[first : min(first + HASHED, total) + shingle - 1]
         hashes = [digest(join(x), SEED) for x in zip(*(part[k:] for k in range(shingle)), strict=False)] if len(words) >= shingle else [digest(join(words), SEED)]
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+        mixed = np.array(hashes, np.uint64)
+        for k in range(bits // 64):
+            if k:
+                mixed = mixed + np.uint64(0x9E3779B97F4A7C15)
+                mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed = mixed ^ (mixed >> np.uint64(27))
+            set_bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            for at in range(0, len(set_bits), 255):
+                ones[64 * k : 64 * k + 64] += np.add.reduce(set_bits[at : at + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > total).view(">u8").astype(np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint, unsigned."""
+    return int(fingerprint_words(text, shingle)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -215,23 +235,139 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+def apart(similarity: float) -> float:
+    """The share of bits in which texts of a Jaccard similarity of their shingles are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_links(nodes: DataFrame, bits: int, key_bits: int, tables: int, budget: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between nodes (node, fingerprint of ``bits`` bits) that agree in a whole segment and are close.
+
+    The segments of ``key_bits`` bits form a ring. Nodes that agree in one meet; the chain
+    from there on must keep within its share of the budget for CHAIN segments, then the
+    full Hamming distance within the budget. Buckets give stars, never pairs; those of
+    more than ``block`` nodes are cut into blocks that meet two by two.
+    """
+    kinds = "key long, own int, low int, high int, node long, fingerprint binary"
+
+    def segment(prints: np.ndarray, t: int) -> np.ndarray:
+        at, inside = divmod(t % tables * key_bits, 64)
+        value = prints[:, at] << np.uint64(inside)
+        if inside + key_bits > 64:
+            value = value | (prints[:, at + 1] >> np.uint64(64 - inside))
+        return value >> np.uint64(64 - key_bits)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 2048):
+                part = batch.slice(first, 2048)
+                prints = np.frombuffer(b"".join(part["fingerprint"].to_pylist()), "<u8").reshape(len(part), -1)
+                zeros = pa.array(np.zeros(len(part), np.int32))
+                for t in range(tables):
+                    key = (np.uint64(t) << np.uint64(48)) | segment(prints, t)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), zeros, zeros, zeros, part["node"], part["fingerprint"]], ["key", "own", "low", "high", "node", "fingerprint"])
+
+    rows = in_batches(nodes.select("node", "fingerprint"), spread, kinds)
+    large = checkpointed(rows.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    if not large.isEmpty():
+        rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    met = rows.select("key", "low", "high", "own", "node", "fingerprint").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def compare(key, low, high, own, node, prints) -> pa.RecordBatch:
+        a, b = [], []
+        step = 1
+        here = np.arange(len(key))
+        while True:
+            here = here[here + step < len(key)]
+            there = here + step
+            together = (key[here] == key[there]) & (low[here] == low[there]) & (high[here] == high[there])
+            here = here[together]
+            if not len(here):
+                break
+            there = here + step
+            good = (low[here] == high[here]) | (own[here] != own[there])
+            i, j = here[good], there[good]
+            apart_so_far = np.zeros(len(i), np.int64)
+            for chain in range(1, CHAIN):
+                # Of each table apart: which segment comes next depends on the key.
+                differ = np.zeros(len(i), np.int64)
+                table = key[i] >> 48
+                for t in np.unique(table):
+                    mine = table == t
+                    differ[mine] = np.bitwise_count(segment(prints[i[mine]], int(t) + chain) ^ segment(prints[j[mine]], int(t) + chain))
+                apart_so_far += differ
+                kept = apart_so_far <= (chain + 1) * budget // tables
+                i, j, apart_so_far = i[kept], j[kept], apart_so_far[kept]
+            close = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= budget
+            a.append(node[i[close]])
+            b.append(node[j[close]])
+            step += 1
+        x, y = stars(np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)]))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = [batch[x].to_numpy() for x in ("key", "low", "high", "own", "node")]
+            now.append(np.frombuffer(b"".join(batch["fingerprint"].to_pylist()), "<u8").reshape(len(batch), -1))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+            held = [x[last] for x in now]
+            yield compare(*(x[~last] for x in now))
+        if held is not None:
+            yield compare(*held)
+
+    return in_batches(met, meet, "a long, b long")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """id and component_id of every row, texts whose shingles are about ``similarity`` alike being linked.
+
+    Such texts differ in too many of 64 bits for an exact index, so fingerprints are
+    longer: as many segments as find nine in ten pairs right at ``similarity``, and nearly
+    all closer ones. The longer fingerprint also tells similarities apart to some
+    hundredths. Rules for rows and ids are those of ``near_duplicates``.
+    """
+    key_bits = min(32, max(16, math.ceil(math.log2(max(1, docs.count()) / 64))))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - apart(similarity)) ** key_bits))
+    bits = -(-tables * key_bits // 64) * 64
+    budget = int(bits * apart(similarity) + math.sqrt(bits * apart(similarity) * (1 - apart(similarity))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint_words(text, shingle, bits).astype("<u8").tobytes() for text in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.binary())], ["id", "fingerprint"])
+
+    prints = checkpointed(in_batches(narrow(docs, id_col, text_col), run, "id long, fingerprint binary"))
+    nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("node"))
+    links = similar_links(nodes.filter("node is not null"), bits, key_bits, tables, budget, block)
+    found = connected_components(links.unionByName(_same_id(prints, nodes)), "a", "b")
+    named = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, "fingerprint").select("id", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one is left of each group of near-duplicates.
 
     That is the one with the group's smallest id; of several rows with this id, the one
     whose text comes first. Rows without an id have nothing to be told apart by and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, budget)
+    found = similar_components(docs, id_col, text_col, shingle, similarity)
     first = found.filter("id = component_id").select(F.col("id").alias("_kept")).distinct()
     left = docs.join(first, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
-    several = left.groupBy(F.col(id_col)).count().filter("count > 1").select(F.col(id_col).alias("_several"))
-    if several.isEmpty():
-        return left.unionByName(docs.filter(docs[id_col].isNull()))
+    nameless = docs.filter(docs[id_col].isNull())
+    if left.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return left.unionByName(nameless)
     order = Window.partitionBy(id_col).orderBy(F.coalesce(F.col(text_col), F.lit("")))
-    return left.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").unionByName(docs.filter(docs[id_col].isNull()))
+    return left.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").unionByName(nameless)
 
 
 def _same_id(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the nodes of one id that stands in several rows."""
-    several = prints.groupBy("id").agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")).filter("low <> high and id is not null").select("id")
+    several = prints.groupBy("id").agg(F.min(F.xxhash64("fingerprint")).alias("low"), F.max(F.xxhash64("fingerprint")).alias("high")).filter("low <> high and id is not null").select("id")
     return prints.join(several, "id").join(nodes, "fingerprint").select(F.col("id").alias("a"), F.col("node").alias("b"))

@@ -1,19 +1,310 @@
-"""Queries by name, with their oracles."""
+"""Queries by name, each over its whole tables. Registry: benchmark; prompts: documents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leakloom.functions import recognizers, spans, text
+from leakloom.operators import decisions, evaluation, locate, matching, registry, windows
+from leakloom.plans import oracles
+from leakloom.sources import formats, logs, payloads
+
+AS_OF = "2026-01-01"
+EXCERPTS = [20, 25, 30, 35, 40, 50, 60, 75, 100, 150, 200]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normal(spark, sf_dir).withColumnRenamed("doc_id", "prompt_id")
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.build_postings(_table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def _long(df: DataFrame) -> DataFrame:
+    """Whole numbers as longs, as SQL has them."""
+    return df.select(*[F.col(c).cast("long").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(c) for c, kind in df.dtypes])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return excerpt_signals(spark, sf_dir)
+
+
+def normalize_documents(spark, sf_dir):
+    return _normal(spark, sf_dir)
+
+
+def normalization_stability(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.groupBy(text.is_normalization_stable(F.col("text")).alias("stable")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def matching_form_lengths(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return _long(docs.select("doc_id", F.length(text.normalize_for_matching(F.col("text"))).alias("n_chars")))
+
+
+def compact_lengths(spark, sf_dir):
+    return _long(_normal(spark, sf_dir).select("doc_id", F.length(text.compact_text(F.col("normal"))).alias("n_kept"), text.kept_length(F.col("normal")).alias("input_len")))
+
+
+def window_counts(spark, sf_dir):
+    one = _normal(spark, sf_dir).select(F.lit("documents").alias("of"), F.col("doc_id").alias("id"), "normal")
+    other = _table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("of"), F.col("item_id").alias("id"), text.normalize_text(F.col("text")).alias("normal"))
+    return _long(one.unionByName(other).select("of", "id", text.window_count(F.col("normal"), windows.WINDOW).alias("n_windows")))
+
+
+def window_hash_exact(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select("item_id", text.normalize_text(F.col("text")).alias("normal"))
+    return _long(windows.windows(items, "item_id", "normal"))
+
+
+def shared_windows(spark, sf_dir):
+    postings = registry.build_postings(_table(spark, sf_dir, "documents"))
+    return registry.shared_windows(postings).groupBy("n_docs").agg(F.count(F.lit(1)).alias("n_windows"))
+
+
+def unique_postings(spark, sf_dir):
+    return registry.identifying(_registry(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("hash").alias("n_hashes"))
+
+
+def identifying_windows(spark, sf_dir):
+    """Documents as their own registry: how many windows of each identify it."""
+    return registry.identifying(registry.build_postings(_table(spark, sf_dir, "documents"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_postings"))
+
+
+def excerpt_matches(spark, sf_dir):
+    found = matching.matches(_prompts(spark, sf_dir), _registry(spark, sf_dir), "prompt_id", "normal")
+    return _long(found.groupBy("prompt_id", "doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.count_distinct("pos").alias("n_positions"), F.min("pos").alias("first_pos"), F.min("in_start").alias("in_start"), F.max("in_end").alias("in_end")))
+
+
+def _sized(spark, sf_dir):
+    prompts = _prompts(spark, sf_dir)
+    sizes = prompts.select("prompt_id", text.window_count(F.col("normal"), windows.WINDOW).cast("long").alias("n_windows"), text.kept_length(F.col("normal")).alias("input_len"))
+    found = matching.matches(prompts, _registry(spark, sf_dir), "prompt_id", "normal").join(sizes, "prompt_id")
+    return matching.sampled(found, "prompt_id")
+
+
+def match_clusters(spark, sf_dir):
+    return _long(matching.match_spans(_sized(spark, sf_dir), "prompt_id"))
+
+
+def match_spans_top3(spark, sf_dir):
+    return _long(matching.top_spans(matching.match_spans(_sized(spark, sf_dir), "prompt_id"), "prompt_id"))
+
+
+def excerpt_signals(spark, sf_dir):
+    rows = matching.signals(_prompts(spark, sf_dir), _registry(spark, sf_dir), "prompt_id", "normal")
+    return _long(rows.drop("spans"))
+
+
+def leak_decisions(spark, sf_dir):
+    prompts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
+    rows = decisions.decide(prompts, _registry(spark, sf_dir), as_of=F.lit(AS_OF).cast("date"))
+    action = decisions.gateway_decision(F.col("blocked"), F.col("decided_by"))
+    return _long(rows.select("request_id", "text_chars", "blocked", "decided_by", "doc_id", "doc_span", "input_span", "score", "pii_hits", "hash_status", "signature_status", action["action"].alias("action"), action["reason_code"].alias("reason_code")))
+
+
+def postings_diff(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark")
+    half = F.floor(F.length("text") / 2).cast("int")
+    turned = items.withColumn("text", F.concat(F.substring("text", half + 1, F.length("text")), F.lit(" "), F.substring("text", F.lit(1), half)))
+    old, new = registry.build_postings(items, "item_id"), registry.build_postings(turned, "item_id")
+    parity = registry.index_parity(old.select("hash", "doc_id", F.lit(0).alias("start"), F.lit(0).alias("end")), new.select("hash", "doc_id", F.lit(0).alias("start"), F.lit(0).alias("end")))
+    return parity.select("doc_id", F.col("in_both").alias("n_kept"), F.col("only_second").alias("n_added"), F.col("only_first").alias("n_removed"))
+
+
+def retire_document(spark, sf_dir):
+    postings = _registry(spark, sf_dir)
+    left, removed = registry.retire_document(postings, 0)
+    return left.agg(F.count(F.lit(1)).alias("n_left"), F.count_distinct("doc_id").alias("n_docs")).crossJoin(removed)  # one row each
+
+
+def email_hits(spark, sf_dir):
+    email = next(r for r in recognizers.PERSONAL_DATA if r.entity_type == "EMAIL_ADDRESS")
+    hits = _normal(spark, sf_dir).select("doc_id", F.explode(email.hits(F.col("normal"), F.lit(AS_OF).cast("date"))).alias("h"))
+    return _long(hits.select("doc_id", "h.start", "h.end", "h.entity_type", "h.score"))
+
+
+def pii_summary(spark, sf_dir):
+    hits = recognizers.all_hits(F.col("normal"), as_of=F.lit(AS_OF).cast("date"))
+    return _normal(spark, sf_dir).select("doc_id", recognizers.hit_counts(hits).alias("pii_hits"))
+
+
+def rule_hits_token(spark, sf_dir):
+    rule = recognizers.SAMPLE_RULES[0]
+    hits = _normal(spark, sf_dir).select("doc_id", F.explode(rule.hits(F.col("normal"))).alias("h"))
+    return _long(hits.select("doc_id", "h.start", "h.end", "h.entity_type"))
+
+
+def mask_hits(spark, sf_dir):
+    email = next(r for r in recognizers.PERSONAL_DATA if r.entity_type == "EMAIL_ADDRESS")
+    return _normal(spark, sf_dir).select("doc_id", spans.mask(F.col("normal"), email.hits(F.col("normal"), F.lit(AS_OF).cast("date"))).alias("masked"))
+
+
+def chat_user_prompts(spark, sf_dir):
+    return payloads.user_prompts(_table(spark, sf_dir, "conversations"))
+
+
+def chat_bodies(spark, sf_dir):
+    """Conversations as bodies of a chat page, and what the extraction reads from them."""
+    turns = _table(spark, sf_dir, "conversations")
+    message = F.struct(F.struct("role").alias("author"), F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts")).alias("content"))
+    bodies = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("t")).select("conv_id", F.to_json(F.struct(F.transform("t", lambda x: x["m"]).alias("messages"))).alias("body"))
+    return bodies.select("conv_id", payloads.chat_prompt(F.col("body")).alias("prompt"))
+
+
+def responses_prompts(spark, sf_dir):
+    """Conversations as responses-style bodies, and the text of their events that is checked."""
+    turns = _table(spark, sf_dir, "conversations")
+    item = F.struct("role", F.array(F.struct(F.lit("input_text").alias("type"), F.col("text").alias("text"))).alias("content"))
+    bodies = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("m")))).alias("t")).select("conv_id", F.to_json(F.struct(F.transform("t", lambda x: x["m"]).alias("input"))).alias("body"))
+    contents = payloads.responses_contents(F.col("body"))
+    return _long(bodies.select("conv_id", F.size(contents).alias("content_count"), payloads.checkable_text(contents).alias("checked")))
+
+
+def event_json_fields(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("sum_k"), F.max(k).alias("max_k"))
+
+
+def word_positions(spark, sf_dir):
+    words = _normal(spark, sf_dir).select("doc_id", F.explode(locate.word_positions(F.col("normal"))).alias("w"))
+    return _long(words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("w.start").alias("sum_start"), F.sum("w.end").alias("sum_end"), F.max("w.index").alias("last_index")))
+
+
+def _blocks(spark, sf_dir):
+    lines = _normal(spark, sf_dir).select("doc_id", F.posexplode(F.split("normal", "\n")).alias("block_no", "line"))
+    none = F.lit(None).cast("array<array<string>>")
+    return lines.select("doc_id", "block_no", F.lit("paragraph").alias("type"), F.col("line").alias("normalized_text"), F.col("line").alias("raw_text"), none.alias("normalized_rows"), none.alias("raw_rows"))
+
+
+def locate_middle(spark, sf_dir):
+    """Each document's middle character: its block, place there and word."""
+    places = _normal(spark, sf_dir).select("doc_id", F.floor(F.length("normal") / 2).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    rows = locate.locate(locate.build_index(_blocks(spark, sf_dir)), places)
+    return _long(rows.select("doc_id", "start", "block_index", "local_start", "raw_start", F.get("word_indices", F.lit(0)).alias("word")))
+
+
+def status_summary(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return registry.status_summary(docs.select(F.col("lang").alias("status"), F.col("source").alias("index_status")))
+
+
+def decision_rollup(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return logs.decision_rollup(events.select("ts", F.col("event_type").alias("decided_by"), (F.col("value") > 50).alias("blocked")))
+
+
+def _logged(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("decision_id"), "value")
+    twice = events.filter("value < 1")
+    return events.unionByName(twice), events.filter("value >= 5"), events.filter("value >= 2 and value < 5")
+
+
+def reconcile_missing(spark, sf_dir):
+    return logs.reconcile(*_logged(spark, sf_dir))
+
+
+def missing_decisions(spark, sf_dir):
+    return logs.missing_ids(*_logged(spark, sf_dir))
+
+
+def dedup_by_id(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return events.unionByName(events).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"))
+
+
+def longest_run_bins(spark, sf_dir):
+    """Runs of matching windows by length: windows that follow each other in prompt and document alike."""
+    found = matching.matches(_prompts(spark, sf_dir), _registry(spark, sf_dir), "prompt_id", "normal")
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("prompt_id", "doc_id").orderBy("pos", "doc_start"))
+    runs = found.withColumn("run", run).groupBy("prompt_id", "doc_id", "run").agg((F.count_distinct("pos") + windows.WINDOW - 1).alias("length"))
+    longest = runs.groupBy("prompt_id", "doc_id").agg(F.max("length").alias("length"))
+    return _long(longest.groupBy(evaluation.run_bin(F.col("length")).alias("from_length")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _recall(spark, sf_dir, trials: DataFrame, by: str) -> DataFrame:
+    """Of ``trials`` (by, item_id, text) how many are blocked and laid to their item."""
+    asked = trials.withColumn("trial", F.concat_ws(":", by, "item_id"))
+    rows = decisions.decide(asked, _registry(spark, sf_dir), "trial", as_of=F.lit(AS_OF).cast("date"))
+    both = asked.join(rows.select("trial", "decided_by", "doc_id"), "trial")
+    hit = (F.col("decided_by") == decisions.HASH) & (F.col("doc_id") == F.col("item_id").cast("string"))
+    return evaluation.rates(both.withColumn("hit", F.coalesce(hit, F.lit(False))), [by])
+
+
+def recall_by_excerpt_length(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark")
+    cut = items.select("item_id", F.explode(F.array(*[F.lit(n).cast("long") for n in EXCERPTS])).alias("length"), "text").withColumn("text", F.substring("text", F.lit(1), F.col("length").cast("int")))
+    return _recall(spark, sf_dir, cut, "length")
+
+
+def recall_by_edit(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark")
+    kinds = [*evaluation.FIXED_EDITS, *evaluation.RANDOM_EDITS]
+    trials = None
+    for kind in kinds:
+        own = items.select("item_id", F.lit(kind).alias("edit"), evaluation.edited(F.col("text"), kind, F.col("item_id")).alias("text"))
+        trials = own if trials is None else trials.unionByName(own)
+    return _recall(spark, sf_dir, trials, "edit")
+
+
+def false_positives(spark, sf_dir):
+    """Made-up tables against the registry; none of them comes from it."""
+    rows = None
+    for kind in ("payroll", "customers"):
+        own = evaluation.synthetic_tables(spark, kind, 60).select(F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), F.col("table_id").cast("string")).alias("request_id"), "text")
+        rows = own if rows is None else rows.unionByName(own)
+    found = decisions.decide(rows, _registry(spark, sf_dir), as_of=F.lit(AS_OF).cast("date")).select("request_id", "decided_by")
+    return evaluation.rates(rows.join(found, "request_id").withColumn("hit", F.col("decided_by") == decisions.HASH), ["kind"])
+
+
+def latency_percentiles(spark, sf_dir):
+    return evaluation.nearest_rank(_table(spark, sf_dir, "events"), "value", [0.5, 0.9, 0.95, 0.99, 1.0], ["event_type"])
+
+
+def service_for_host(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    own = pages.select(formats.host_of(F.col("url")).alias("host"))
+    listed = spark.createDataFrame([("chatgpt.com",), ("files.openai.com",), ("notopenai.com",), ("CLAUDE.AI",)], "host string").select(F.lower("host").alias("host"))
+    return own.unionByName(listed).groupBy("host", formats.service_for_host(F.col("host")).alias("service")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_rates(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluation.rates(labels.withColumn("hit", F.col("toxic") == 1), ["lang"])
+
+
+def unwrapped_paragraphs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    paragraphs = text.unwrapped_lines(F.coalesce("text", F.lit("")))
+    return _long(docs.select("doc_id", F.size(paragraphs).alias("n_paragraphs"), F.sha2(F.array_join(paragraphs, "\n").cast("binary"), 256).alias("sha256")))
+
+
+NAMED = [
+    normalize_documents, normalization_stability, matching_form_lengths, compact_lengths, window_counts, window_hash_exact, shared_windows, unique_postings,
+    identifying_windows, excerpt_matches, match_clusters, match_spans_top3, excerpt_signals, leak_decisions, postings_diff, retire_document, email_hits, pii_summary,
+    rule_hits_token, mask_hits, chat_user_prompts, chat_bodies, responses_prompts, event_json_fields, word_positions, locate_middle, status_summary, decision_rollup,
+    reconcile_missing, missing_decisions, dedup_by_id, longest_run_bins, recall_by_excerpt_length, recall_by_edit, false_positives, latency_percentiles, service_for_host,
+    label_rates, unwrapped_paragraphs,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in NAMED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

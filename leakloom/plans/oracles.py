@@ -1,0 +1,157 @@
+"""The same queries in DuckDB's SQL, over the tables as views.
+
+They are written for correctness on small tables: windows are compared as text, not as
+hashes, and offsets come from lists of characters.
+"""
+
+from __future__ import annotations
+
+from leakloom.functions import text as t
+from leakloom.operators.windows import BASE, MODULUS, MULTIPLIER, WINDOW
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _normal(column: str) -> str:
+    source = t.SPACES + t.APOSTROPHES + t.QUOTES + t.DASHES + t.BULLETS
+    target = " " * len(t.SPACES) + "'" * len(t.APOSTROPHES) + '"' * len(t.QUOTES) + "-" * (len(t.DASHES) + len(t.BULLETS))
+    out = f"nfc_normalize(replace(replace(coalesce({column}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)))"
+    out = f"regexp_replace(translate({out}, {_quoted(t.INVISIBLE)}, ''), '{t.CONTROL}', '', 'g')"
+    out = f"translate({out}, {_quoted(source)}, {_quoted(target)})"
+    out = f"regexp_replace(regexp_replace(regexp_replace({out}, ' +\\n', chr(10), 'g'), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    strip = "[\\n \\x{85}\\x{1680}\\x{2028}\\x{2029}]"
+    return f"regexp_replace({out}, '\\A{strip}+|{strip}+\\z', '', 'g')"
+
+
+KEPT = t.KEPT
+COMPACT = f"lower(regexp_replace(normal, '[^{KEPT}]', '', 'g'))"
+DOCS = f"docs AS MATERIALIZED (SELECT doc_id, {_normal('text')} AS normal FROM documents)"
+ITEMS = f"items AS MATERIALIZED (SELECT item_id, {_normal('text')} AS normal FROM benchmark)"
+
+
+def _windows(name: str, source: str, key: str, offsets: bool = True) -> str:
+    """CTEs ending in ``name``: key, pos, win, start, end of all windows."""
+    places = f"[i for i in range(length(normal)) if regexp_matches(chars[i + 1], '^[{KEPT}]$')]" if offsets else "NULL::BIGINT[]"
+    ends = f"offs[pos + 1] AS start, offs[pos + {WINDOW}] + 1 AS \"end\"" if offsets else "0 AS start, 0 AS \"end\""
+    return f"""
+{name}_c AS MATERIALIZED (SELECT {key}, {COMPACT} AS c, normal, string_split(normal, '') AS chars FROM {source}),
+{name}_o AS MATERIALIZED (SELECT {key}, c, {places} AS offs FROM {name}_c),
+{name}_p AS (SELECT {key}, c, offs, unnest(range(greatest(length(c) - {WINDOW - 1}, 0))) AS pos FROM {name}_o),
+{name} AS MATERIALIZED (SELECT {key}, pos, substr(c, pos + 1, {WINDOW}) AS win, {ends} FROM {name}_p)"""
+
+
+UNIQUE = "uniq AS MATERIALIZED (SELECT * FROM reg WHERE win IN (SELECT win FROM reg GROUP BY win HAVING count(DISTINCT item_id) < 2))"
+#: Prompt offsets are needed for matching documents alone.
+FOUND = f"""WITH {DOCS}, {ITEMS}, {_windows('reg', 'items', 'item_id')}, {UNIQUE},
+{_windows('probe', 'docs', 'doc_id', offsets=False)},
+hit AS MATERIALIZED (SELECT p.doc_id AS prompt_id, p.pos, p.win, u.item_id AS doc_id, u.start AS doc_start, u."end" AS doc_end FROM probe p JOIN uniq u USING (win)),
+near AS MATERIALIZED (SELECT doc_id, normal, length(regexp_replace(normal, '[^{KEPT}]+\\z', '')) AS input_len, string_split(normal, '') AS chars, greatest(length({COMPACT}) - {WINDOW - 1}, 0) AS n_windows FROM docs WHERE doc_id IN (SELECT prompt_id FROM hit)),
+placed AS MATERIALIZED (SELECT doc_id, input_len, n_windows, [i for i in range(length(normal)) if regexp_matches(chars[i + 1], '^[{KEPT}]$')] AS offs FROM near),
+found AS MATERIALIZED (SELECT h.*, offs[pos + 1] AS in_start, offs[pos + {WINDOW}] + 1 AS in_end, input_len, n_windows FROM hit h JOIN placed n ON h.prompt_id = n.doc_id)"""
+SAMPLED = """bounds AS (SELECT prompt_id, 2000 * (min(pos) // 2000 + 1) AS b FROM found GROUP BY 1),
+sampled AS MATERIALIZED (SELECT f.*, least(b, n_windows) + (greatest(n_windows - b, 0) + 49) // 50 AS examined FROM found f JOIN bounds USING (prompt_id) WHERE pos < b OR (pos - b) % 50 = 0)"""
+CLUSTERS = """flagged AS (SELECT *, CASE WHEN doc_start - lag(doc_end) OVER w > input_len THEN 1 ELSE 0 END AS fresh FROM sampled WINDOW w AS (PARTITION BY prompt_id, doc_id ORDER BY doc_start, pos)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY prompt_id, doc_id ORDER BY doc_start, pos) AS cluster FROM flagged),
+clusters AS MATERIALIZED (SELECT prompt_id, doc_id, cluster::BIGINT AS cluster, min(in_start) AS in_start, max(in_end) AS in_end, min(doc_start) AS doc_start, max(doc_end) AS doc_end, count(DISTINCT win) AS windows FROM numbered GROUP BY 1, 2, 3),
+ranked AS MATERIALIZED (SELECT * EXCLUDE (cluster), row_number() OVER (PARTITION BY prompt_id, doc_id ORDER BY windows DESC, cluster) AS rank FROM clusters)"""
+SIGNALS = """totals AS (SELECT prompt_id, doc_id, count(DISTINCT pos) AS matched, min(pos) AS first_pos, any_value(examined) AS examined FROM sampled GROUP BY 1, 2),
+scored AS (SELECT r.prompt_id, r.doc_id, in_start, in_end, doc_start, doc_end, windows, matched, examined, round(matched / examined, 3) AS score, first_pos FROM ranked r JOIN totals t ON r.prompt_id = t.prompt_id AND r.doc_id = t.doc_id WHERE rank = 1),
+signals AS MATERIALIZED (SELECT * EXCLUDE (first_pos), row_number() OVER (PARTITION BY prompt_id ORDER BY windows DESC, score DESC, first_pos) AS signal_rank FROM scored)"""
+
+# RE2 has no look-around; on these tables the plain patterns match alike.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+TOKEN = r"[0-9a-f]{32,64}"
+
+
+def _spans(pattern: str, flags: str = "") -> str:
+    """CTE spans: doc_id, k, start, end, value of the pattern's matches in docs."""
+    p = _quoted(flags + pattern)
+    return f"""parts AS (SELECT doc_id, normal, regexp_extract_all(normal, {p}) AS ms, string_split_regex(normal, {p}) AS gaps FROM docs WHERE regexp_matches(normal, {p})),
+listed AS (SELECT doc_id, normal, ms, gaps, unnest(range(1, len(ms) + 1)) AS k FROM parts),
+begun AS (SELECT doc_id, normal, k, ms[k] AS value, coalesce(list_sum([length(x) for x in gaps[1:k]]), 0) + coalesce(list_sum([length(x) for x in ms[1:k - 1]]), 0) AS start FROM listed),
+spans AS MATERIALIZED (SELECT doc_id, normal, k, start::BIGINT AS start, (start + length(value))::BIGINT AS "end", value FROM begun)"""
+
+
+def _hash() -> str:
+    terms = " + ".join(f"(ord(win[{k + 1}])::HUGEINT * {pow(BASE, WINDOW - 1 - k, MODULUS)}::HUGEINT)" for k in range(WINDOW))
+    return f"((((({terms}) % {MODULUS}::HUGEINT) * {MULTIPLIER % MODULUS}::HUGEINT) % {MODULUS}::HUGEINT))::BIGINT"
+
+
+def _percentiles() -> str:
+    shares = ", ".join(f"({s})" for s in ("0.5::DOUBLE", "0.9::DOUBLE", "0.95::DOUBLE", "0.99::DOUBLE", "1.0::DOUBLE"))
+    return f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, share, value FROM r, (VALUES {shares}) s(share) WHERE k = least(n - 1, floor(share * n)::BIGINT)"""
+
+
+SERVICES = """CASE WHEN host = 'chatgpt.com' OR host LIKE '%.chatgpt.com' THEN 'ChatGPT' WHEN host = 'openai.com' OR host LIKE '%.openai.com' OR host = 'oaistatic.com' OR host LIKE '%.oaistatic.com' OR host = 'oaiusercontent.com' OR host LIKE '%.oaiusercontent.com' THEN 'ChatGPT/OpenAI'
+WHEN host = 'gemini.google.com' OR host LIKE '%.gemini.google.com' THEN 'Gemini' WHEN host = 'claude.ai' OR host LIKE '%.claude.ai' THEN 'Claude' WHEN host = 'anthropic.com' OR host LIKE '%.anthropic.com' THEN 'Claude/Anthropic' END"""
+BINS = "CASE " + " ".join(f"WHEN length BETWEEN {a} AND {b} THEN {a}" for a, b in [(0, 14), (15, 19), (20, 24), (25, 29), (30, 34), (35, 39), (40, 49), (50, 74), (75, 149), (150, 10**9)]) + " END"
+LOGGED = """logged AS (SELECT event_id::VARCHAR AS decision_id FROM events UNION ALL SELECT event_id::VARCHAR FROM events WHERE value < 1),
+stored AS (SELECT event_id::VARCHAR AS decision_id FROM events WHERE value >= 5), away AS (SELECT event_id::VARCHAR AS decision_id FROM events WHERE value >= 2 AND value < 5)"""
+
+
+def _recall_by_length() -> str:
+    lengths = ", ".join(f"({n})" for n in (20, 25, 30, 35, 40, 50, 60, 75, 100, 150, 200))
+    return f"""WITH {ITEMS}, {_windows('reg', 'items', 'item_id', offsets=False)}, {UNIQUE},
+cut AS (SELECT item_id, n::BIGINT AS length, {_normal('substr(text, 1, n)')} AS normal FROM benchmark, (VALUES {lengths}) v(n)),
+trial AS (SELECT item_id, length, {COMPACT} AS c FROM cut),
+w AS (SELECT item_id, length, c, unnest(range(greatest(length(c) - {WINDOW - 1}, 0))) AS pos FROM trial),
+m AS (SELECT w.item_id AS asked, w.length, u.item_id, count(DISTINCT u.win) AS windows FROM w JOIN uniq u ON u.win = substr(w.c, w.pos + 1, {WINDOW}) GROUP BY ALL),
+top AS (SELECT asked, length, arg_max(item_id, windows) AS best FROM m GROUP BY ALL)
+SELECT t.length, count(*) AS trials, count(*) FILTER (WHERE best = item_id) AS hits, avg(CASE WHEN best = item_id THEN 1 ELSE 0 END) AS rate FROM trial t LEFT JOIN top ON asked = item_id AND top.length = t.length GROUP BY 1"""
+
+
+def oracle_sql() -> dict[str, str]:
+    user = "SELECT conv_id, count(*) AS n_turns, string_agg(text, chr(10) ORDER BY turn, text) AS prompt FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\S') GROUP BY 1"
+    return {
+        "normalize_documents": f"SELECT doc_id, {_normal('text')} AS normal FROM documents",
+        "normalization_stability": f"SELECT {_normal('text')} = text AS stable, count(*) AS n FROM documents GROUP BY 1",
+        "matching_form_lengths": f"WITH {DOCS} SELECT doc_id, length(regexp_replace(normal, '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}]', '', 'g')) AS n_chars FROM docs",
+        "compact_lengths": f"WITH {DOCS} SELECT doc_id, length({COMPACT}) AS n_kept, length(regexp_replace(normal, '[^{KEPT}]+\\z', '')) AS input_len FROM docs",
+        "window_counts": f"WITH {DOCS}, {ITEMS}, b AS (SELECT 'documents' AS of, doc_id AS id, normal FROM docs UNION ALL SELECT 'benchmark', item_id, normal FROM items) SELECT of, id, greatest(length({COMPACT}) - {WINDOW - 1}, 0) AS n_windows FROM b",
+        "window_hash_exact": f"WITH {ITEMS}, {_windows('reg', 'items', 'item_id')} SELECT item_id, pos, {_hash()} AS hash, start, \"end\" FROM reg",
+        "shared_windows": f"WITH {DOCS}, {_windows('reg', 'docs', 'doc_id', offsets=False)}, n AS (SELECT win, count(DISTINCT doc_id) AS n_docs FROM reg GROUP BY 1 HAVING count(DISTINCT doc_id) > 1) SELECT n_docs, count(*) AS n_windows FROM n GROUP BY 1",
+        "unique_postings": f"WITH {ITEMS}, {_windows('reg', 'items', 'item_id', offsets=False)}, {UNIQUE} SELECT item_id AS doc_id, count(*) AS n_postings, count(DISTINCT win) AS n_hashes FROM uniq GROUP BY 1",
+        "identifying_windows": f"WITH {DOCS}, {_windows('reg', 'docs', 'doc_id', offsets=False)} SELECT doc_id, count(*) AS n_postings FROM reg JOIN (SELECT win FROM reg GROUP BY 1 HAVING min(doc_id) = max(doc_id)) USING (win) GROUP BY 1",
+        "excerpt_matches": f"{FOUND} SELECT prompt_id, doc_id, count(*) AS n_matches, count(DISTINCT pos) AS n_positions, min(pos) AS first_pos, min(in_start) AS in_start, max(in_end) AS in_end FROM found GROUP BY 1, 2",
+        "match_clusters": f"{FOUND}, {SAMPLED}, {CLUSTERS} SELECT * FROM clusters",
+        "match_spans_top3": f"{FOUND}, {SAMPLED}, {CLUSTERS} SELECT * FROM ranked WHERE rank <= 3",
+        "excerpt_signals": f"{FOUND}, {SAMPLED}, {CLUSTERS}, {SIGNALS} SELECT * FROM signals",
+        "leak_decisions": f"""{FOUND}, {SAMPLED}, {CLUSTERS}, {SIGNALS}, {_spans(EMAIL)}, mails AS (SELECT doc_id, 'EMAIL_ADDRESS:' || count(*) AS pii_hits FROM spans GROUP BY 1)
+SELECT d.doc_id AS request_id, length(normal) AS text_chars, s.doc_id IS NOT NULL OR m.doc_id IS NOT NULL AS blocked, CASE WHEN s.doc_id IS NOT NULL THEN 'windowhash' WHEN m.doc_id IS NOT NULL THEN 'signature' ELSE 'none' END AS decided_by,
+s.doc_id::VARCHAR AS doc_id, doc_start || '-' || doc_end AS doc_span, in_start || '-' || in_end AS input_span, score, CASE WHEN s.doc_id IS NULL THEN m.pii_hits END AS pii_hits, 'ok' AS hash_status, CASE WHEN s.doc_id IS NULL THEN 'ok' ELSE 'skipped' END AS signature_status,
+CASE WHEN s.doc_id IS NOT NULL OR m.doc_id IS NOT NULL THEN 'block' ELSE 'allow' END AS action, CASE WHEN s.doc_id IS NOT NULL THEN 'doc_excerpt' WHEN m.doc_id IS NOT NULL THEN 'pii' ELSE 'none' END AS reason_code
+FROM docs d LEFT JOIN (SELECT * FROM signals WHERE signal_rank = 1) s ON d.doc_id = s.prompt_id LEFT JOIN mails m ON d.doc_id = m.doc_id""",
+        "postings_diff": f"""WITH {ITEMS}, turned AS (SELECT item_id, {_normal("substr(text, length(text) // 2 + 1) || ' ' || substr(text, 1, length(text) // 2)")} AS normal FROM benchmark), {_windows('old', 'items', 'item_id', offsets=False)}, {_windows('new', 'turned', 'item_id', offsets=False)},
+a AS (SELECT DISTINCT item_id, win FROM old), b AS (SELECT DISTINCT item_id, win FROM new), f AS (SELECT coalesce(a.item_id, b.item_id) AS doc_id, a.win AS x, b.win AS y FROM a FULL JOIN b ON a.item_id = b.item_id AND a.win = b.win)
+SELECT doc_id, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS n_kept, count(*) FILTER (WHERE x IS NULL) AS n_added, count(*) FILTER (WHERE y IS NULL) AS n_removed FROM f GROUP BY 1""",
+        "retire_document": f"WITH {ITEMS}, n AS (SELECT item_id, greatest(length({COMPACT}) - {WINDOW - 1}, 0) AS n FROM items) SELECT sum(n) FILTER (WHERE item_id <> 0)::BIGINT AS n_left, count(*) FILTER (WHERE item_id <> 0 AND n > 0) AS n_docs, sum(n) FILTER (WHERE item_id = 0)::BIGINT AS removed FROM n",
+        "email_hits": f"WITH {DOCS}, {_spans(EMAIL)} SELECT doc_id, start, \"end\", 'EMAIL_ADDRESS' AS entity_type, 0.9::DOUBLE AS score FROM spans",
+        "pii_summary": f"WITH {DOCS}, {_spans(EMAIL)}, m AS (SELECT doc_id, 'EMAIL_ADDRESS:' || count(*) AS pii_hits FROM spans GROUP BY 1) SELECT d.doc_id, pii_hits FROM docs d LEFT JOIN m USING (doc_id)",
+        "rule_hits_token": f"""WITH {DOCS}, {_spans(TOKEN, '(?i)')} SELECT doc_id, start, "end", 'HEX_TOKEN' AS entity_type FROM spans WHERE regexp_matches(substr(normal, greatest(start - 100, 0) + 1, least(start, 100)), '(?i)["'']?(?:api_key|secret|token)["'']?\\s*(?::|=)\\s*["'']?\\z')""",
+        "mask_hits": f"WITH {DOCS}, {_spans(EMAIL)}, m AS (SELECT doc_id, any_value(ms) AS ms, any_value(gaps) AS gaps FROM parts GROUP BY 1) SELECT d.doc_id, CASE WHEN m.doc_id IS NULL THEN normal ELSE array_to_string([gaps[i] || coalesce(repeat('*', length(ms[i])), '') for i in range(1, len(gaps) + 1)], '') END AS masked FROM docs d LEFT JOIN m USING (doc_id)",
+        "chat_user_prompts": user,
+        "chat_bodies": f"SELECT c.conv_id, prompt FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN ({user}) u USING (conv_id)",
+        "responses_prompts": f"SELECT conv_id, n AS content_count, {_normal('said')} AS checked FROM (SELECT conv_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn, role, text) FILTER (WHERE text <> '') AS said FROM conversations GROUP BY 1)",
+        "event_json_fields": "SELECT event_type, count(*) AS n, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS sum_k, max((props::JSON ->> '$.k')::BIGINT) AS max_k FROM events GROUP BY 1",
+        "word_positions": f"""WITH {DOCS}, p AS (SELECT doc_id, regexp_extract_all(normal, '\\S+') AS ms, string_split_regex(normal, '\\S+') AS gaps FROM docs WHERE regexp_matches(normal, '\\S')),
+u AS (SELECT doc_id, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS g, unnest(range(len(ms))) AS k FROM p),
+e AS (SELECT doc_id, k, length(m) AS n, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS e FROM u)
+SELECT doc_id, count(*) AS n_words, sum(e - n)::BIGINT AS sum_start, sum(e)::BIGINT AS sum_end, max(k) AS last_index FROM e GROUP BY 1""",
+        "locate_middle": f"""WITH {DOCS}, mid AS (SELECT doc_id, length(normal) // 2 AS start, normal FROM docs), cut AS (SELECT doc_id, unnest(string_split(normal, chr(10))) AS line, unnest(range(len(string_split(normal, chr(10))))) AS no FROM docs),
+b AS (SELECT doc_id, line, row_number() OVER w - 1 AS block_index, coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM cut WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+h AS (SELECT m.doc_id, m.start, block_index, m.start - g AS local_start, line FROM mid m LEFT JOIN b ON m.doc_id = b.doc_id AND m.start >= g AND m.start < g + length(line))
+SELECT doc_id, start, block_index, local_start, local_start AS raw_start, CASE WHEN regexp_matches(substr(line, local_start + 1, 1), '\\S') THEN len(regexp_extract_all(substr(line, 1, local_start + 1), '\\S+')) - 1 END AS word FROM h""",
+        "status_summary": "SELECT lang || '/' || source AS state, count(*) AS n FROM documents GROUP BY 1",
+        "decision_rollup": "SELECT date_trunc('hour', ts) AS hour, event_type AS decided_by, count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_blocked FROM events GROUP BY 1, 2",
+        "reconcile_missing": f"WITH {LOGGED}, p AS (SELECT decision_id, count(*) AS n FROM logged GROUP BY 1) SELECT sum(n)::BIGINT AS lines, count(s.decision_id) AS in_store, count(a.decision_id) AS rejected, count(*) FILTER (WHERE s.decision_id IS NULL AND a.decision_id IS NULL) AS missing, count(*) FILTER (WHERE n > 1) AS duplicate_ids, count(*) FILTER (WHERE s.decision_id IS NULL AND a.decision_id IS NULL) = 0 AND count(*) FILTER (WHERE n > 1) = 0 AS ok FROM p LEFT JOIN stored s USING (decision_id) LEFT JOIN away a USING (decision_id)",
+        "missing_decisions": f"WITH {LOGGED} SELECT DISTINCT decision_id FROM logged WHERE decision_id NOT IN (SELECT decision_id FROM stored) AND decision_id NOT IN (SELECT decision_id FROM away)",
+        "dedup_by_id": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
+        "longest_run_bins": f"{FOUND}, g AS (SELECT prompt_id, doc_id, pos, pos - row_number() OVER (PARTITION BY prompt_id, doc_id ORDER BY pos, doc_start) AS run FROM found), r AS (SELECT prompt_id, doc_id, run, count(DISTINCT pos) + {WINDOW - 1} AS length FROM g GROUP BY 1, 2, 3), l AS (SELECT prompt_id, doc_id, max(length) AS length FROM r GROUP BY 1, 2) SELECT ({BINS})::BIGINT AS from_length, count(*) AS n FROM l GROUP BY 1",
+        "recall_by_excerpt_length": _recall_by_length(),
+        "latency_percentiles": _percentiles(),
+        "service_for_host": f"WITH h AS (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages UNION ALL SELECT * FROM (VALUES ('chatgpt.com'), ('files.openai.com'), ('notopenai.com'), ('claude.ai')) v(host)) SELECT host, {SERVICES} AS service, count(*) AS n FROM h GROUP BY 1, 2",
+        "label_rates": "SELECT lang, count(*) AS trials, count(*) FILTER (WHERE toxic = 1) AS hits, avg(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS rate FROM labels JOIN documents USING (doc_id) GROUP BY 1",
+    }

@@ -43,7 +43,7 @@ CHAIN = 3
 #: Shingles that are hashed at a time.
 HASHED = 1 << 16
 #: Pairs that are compared at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -276,7 +276,7 @@ def similar_links(nodes: DataFrame, bits: int, key_bits: int, tables: int, budge
     met = rows.select("key", "low", "high", "own", "node", "fingerprint").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compare(key, low, high, own, node, prints) -> pa.RecordBatch:
-        a, b = [], []
+        a, b, held = [], [], 0
         step = 1
         here = np.arange(len(key))
         while True:
@@ -303,6 +303,10 @@ def similar_links(nodes: DataFrame, bits: int, key_bits: int, tables: int, budge
             close = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= budget
             a.append(node[i[close]])
             b.append(node[j[close]])
+            held += len(a[-1])
+            if held > PAIRS:  # a dense bucket's pairs become stars before there are many of them
+                x, y = stars(np.concatenate(a), np.concatenate(b))
+                a, b, held = [x], [y], len(x)
             step += 1
         x, y = stars(np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)]))
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])

@@ -28,7 +28,7 @@ from leakloom.llm.common import BATCH_BYTES, file_bytes, in_batches, narrow
 #: The words of the vocabulary's pre-tokenizer, with Unicode's white space spelt out.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+"
 #: Words that a worker remembers; it starts afresh when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Longer words are met one by one and not remembered.
 LONG = 64
 NEVER = 1 << 60
@@ -79,7 +79,7 @@ class TrieBpe:
             spelt, closed = symbols(token)
             made.add(i)
             (self.closed if closed else self.open)[spelt] = i
-        self.longest = max(map(len, [*self.open, *self.closed]))
+        self.begins = {spelt[:k] for spelt in [*self.open, *self.closed] for k in range(1, len(spelt))} | set(self.open)
         missing = [b for b in ends if bytes([b]) not in self.open or (self.suffix and bytes([b]) not in self.closed)]
         if missing:
             raise ValueError("the vocabulary lacks single bytes")
@@ -162,8 +162,9 @@ class TrieBpe:
                     child = node[b] = {}
                 node = child
             node.setdefault(ends_here, []).append((word[-1], k))
-        last: list[int] = [-1]  # by depth: the last token of the prefix
-        start: list[int] = [0]  # and where it starts
+        last: list[int] = [-1]  # by depth: the last token of the prefix,
+        start: list[int] = [0]  # where it starts,
+        reach: list[int] = [0]  # and how many of its last bytes begin some token
         single = [bytes([b]) for b in range(256)]
         final = self.closed if self.suffix else self.open
         stack: list[tuple[bytes, dict]] = [(b"", root)]
@@ -171,12 +172,12 @@ class TrieBpe:
             path, node = stack.pop()
             if path:
                 depth = len(path)
-                del last[depth:], start[depth:]
-                token, begin = self._state(path, last, self.open)
+                del last[depth:], start[depth:], reach[depth:]
+                token, begin = self._state(path, last, self.open, reach)
                 last.append(token)
                 start.append(begin)
             for end, k in node.get(ends_here, ()):
-                token, at = self._state(path + single[end], last, final)
+                token, at = self._state(path + single[end], last, final, reach, False)
                 ids = [token]
                 while at:
                     ids.append(last[at])
@@ -186,9 +187,19 @@ class TrieBpe:
                 if b != ends_here:
                     stack.append((path + single[b], child))
 
-    def _state(self, path: bytes, last: list[int], tokens: dict[bytes, int]) -> tuple[int, int]:
+    def _state(self, path: bytes, last: list[int], tokens: dict[bytes, int], reach: list[int], keep: bool = True) -> tuple[int, int]:
+        """(last token, where it starts) of the prefix ``path``, from the states of shorter ones.
+
+        A token that ends here begins within what could begin a token one byte before, so
+        no longer suffix needs a look.
+        """
         n = len(path)
-        for at in range(max(0, n - self.longest), n):
+        longest = reach[n - 1] + 1
+        if keep:
+            while longest > 1 and path[n - longest :] not in self.begins:
+                longest -= 1
+            reach.append(longest)
+        for at in range(n - longest, n):
             token = tokens.get(path[at:])
             if token is not None and (not at or self.agrees(last[at], token)):
                 return token, at

@@ -32,9 +32,9 @@ from leakloom.session import checkpointed
 
 CAPACITY = 1024
 #: Lengths above this share of the capacity are grouped; the others are small.
-LARGE = 1 / 8
+LARGE = 1 / 6
 #: Groups of equal cardinality, hence sizes that configurations are made of.
-GROUPS = 144
+GROUPS = 200
 #: Rows that one window partition ranks.
 RANKED = 50_000
 
@@ -118,22 +118,24 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     whose best configuration enters as long as it is worth more than one bin.
     """
     n = len(sizes)
-    basis = np.zeros((n, n))
-    for i, size in enumerate(sizes):
-        basis[i, i] = capacity // size
-    need = np.array(demand, float)
     held = np.array(sizes)
-    inverse = np.linalg.inv(basis)
-    for _ in range(60 * n):
+    basis = np.diag((capacity // held).astype(float))
+    inverse = np.diag(1 / np.diag(basis))
+    need = np.array(demand, float)
+    step_of = int(held.min())  # rooms that are less apart never build on each other
+    for turn in range(60 * n):
         prices = inverse.sum(axis=0)  # every configuration costs one bin
-        worth = np.zeros(capacity + 1)
-        chosen = np.full(capacity + 1, -1)
-        for room in range(1, capacity + 1):
-            with_each = np.where(held <= room, worth[np.maximum(room - held, 0)] + prices, 0)
-            best = int(with_each.argmax())
-            worth[room] = worth[room - 1]
-            if with_each[best] > worth[room] + 1e-12:
-                worth[room], chosen[room] = with_each[best], best
+        worth, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        for first in range(step_of, capacity + 1, step_of):
+            rooms = np.arange(first, min(first + step_of, capacity + 1))
+            left = rooms[:, None] - held[None, :]
+            with_each = np.where(left >= 0, worth[np.maximum(left, 0)] + prices, -1.0)
+            best = with_each.argmax(axis=1)
+            own = with_each[np.arange(len(rooms)), best]
+            # A room that nothing is added to is worth as much as the next smaller one.
+            from_ = np.maximum.accumulate(np.where(own > worth[first - 1] + 1e-12, own, worth[first - 1]))
+            fresh = (own >= from_) & (own > np.r_[worth[first - 1], from_[:-1]] + 1e-12)
+            worth[rooms], chosen[rooms] = from_, np.where(fresh, best, -1)
         if worth[capacity] <= 1 + 1e-7:
             break
         column, room = np.zeros(n), capacity
@@ -147,7 +149,13 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         ratios = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratios))
         basis[:, out] = column
-        inverse = np.linalg.inv(basis)
+        if turn % 100 == 99:
+            inverse = np.linalg.inv(basis)
+        else:  # the same by one pivot
+            row = inverse[out] / step[out]
+            inverse = inverse - np.outer(step, row)
+            inverse[out] = row
+    inverse = np.linalg.inv(basis)
     level = inverse @ need
     found: dict[tuple[int, ...], int] = {}
     for j in range(n):

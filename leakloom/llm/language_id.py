@@ -44,7 +44,7 @@ def sequences(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     packed = np.zeros(len(raw), np.uint64)
     for k in range(order + 1):
         packed[k:] |= raw[: len(raw) - k].astype(np.uint64) << np.uint64(8 * k)
-    lengths = np.array([len(x) for x in parts])
+    lengths = np.array([len(x) for x in parts], np.int64)
     starts = np.cumsum(lengths) - lengths
     inside = np.ones(len(raw), bool)
     for k in range(order):
@@ -175,7 +175,7 @@ class PpmModel:
             if len(late):
                 bits[late] = self._late(part[late])
             b = a + len(part)
-            some = np.flatnonzero((edges[:-1] < b) & (edges[1:] > a))
+            some = np.flatnonzero((edges[:-1] < b) & (edges[1:] > a) & (edges[1:] > edges[:-1]))
             total[some] += np.add.reduceat(bits, np.maximum(edges[some] - a, 0), axis=0, dtype=np.float64)
         return total
 

@@ -362,13 +362,21 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whose text comes first. Rows without an id have nothing to be told apart by and stay.
     """
     found = similar_components(docs, id_col, text_col, shingle, similarity)
-    first = found.filter("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    left = docs.join(first, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
+    kept, several = _free(docs, "kept"), _free(docs, "several")
+    first = found.filter("id = component_id").select(F.col("id").alias(kept)).distinct()
+    left = docs.join(first, docs[id_col].cast("long") == F.col(kept), "left_semi")
     nameless = docs.filter(docs[id_col].isNull())
-    if left.groupBy(id_col).count().filter("count > 1").isEmpty():
+    if left.select(id_col).groupBy(id_col).count().filter("count > 1").isEmpty():
         return left.unionByName(nameless)
     order = Window.partitionBy(id_col).orderBy(F.coalesce(F.col(text_col), F.lit("")))
-    return left.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").unionByName(nameless)
+    return left.withColumn(several, F.row_number().over(order)).filter(F.col(several) == 1).drop(several).unionByName(nameless)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def _same_id(prints: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -26,9 +26,11 @@ from leakloom.llm.byte_tokens import written_bytes
 from leakloom.llm.common import BATCH_BYTES, file_bytes, in_batches, narrow
 
 #: The words of the vocabulary's pre-tokenizer, with Unicode's white space spelt out.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+"
-#: Words that a worker remembers; it starts afresh when there are more.
-REMEMBERED = 600_000
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
+#: Words that a worker remembers, twice over: when there are more, those not met since the last time are forgotten.
+REMEMBERED = 250_000
+#: Pairs of tokens that it remembers.
+PAIRS = 400_000
 #: Longer words are met one by one and not remembered.
 LONG = 64
 NEVER = 1 << 60
@@ -86,7 +88,7 @@ class TrieBpe:
         self.find = regex.compile(WORDS).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
         self.known: dict[str, bytes] = {}
-        self.said: dict[str, str] = {}
+        self.before: dict[str, bytes] = {}
         self.back = back
         self.odd = re.compile(r"[^\x00-ɏ]").search
         library = Tokenizer.from_str(content.decode())
@@ -143,7 +145,7 @@ class TrieBpe:
         key = a << 24 | b
         found = self.agrees_cache.get(key)
         if found is None:
-            if len(self.agrees_cache) > 4 * REMEMBERED:
+            if len(self.agrees_cache) > PAIRS:
                 self.agrees_cache.clear()
             found = self.agrees_cache[key] = self._undisturbed(a, b)
         return found
@@ -221,10 +223,8 @@ class TrieBpe:
         return self.find(unicodedata.normalize("NFC", text).lower())
 
     def _learn(self, fresh: list[str]) -> None:
-        names = self.names
         for k, ids in self.encode_words([w.encode() for w in fresh]):
             self.known[fresh[k]] = pack("<%dI" % len(ids), *ids)
-            self.said[fresh[k]] = " ".join([names[i] for i in ids])
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids, decoded text) of each text."""
@@ -241,27 +241,28 @@ class TrieBpe:
 
     def _encoded(self, block: list[list]) -> Iterator[tuple[bytes, str]]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.said.clear()
+            self.before, self.known = self.known, {}
         fresh: set[str] = set()
         for parts in block:
             for words in parts[::2]:
                 fresh.update(words)
         fresh.difference_update(self.known)
+        for word in fresh & self.before.keys():
+            self.known[word] = self.before.pop(word)
+        fresh.difference_update(self.known)
         self._learn(list(fresh))
-        get, say = self.known.__getitem__, self.said.__getitem__
+        get = self.known.__getitem__
         for parts in block:
-            ids, names = [], []
+            ids: list[bytes] = []
             for k, part in enumerate(parts):
                 if k % 2:
-                    ids.append(np.array([self.special[part]], "<u4").tobytes())
-                    names.append(part)
-                elif part:
+                    ids.append(pack("<I", self.special[part]))
+                else:
                     ids.extend(map(get, part))
-                    names.extend(map(say, part))
-            yield b"".join(ids), " ".join(names)
+            own = b"".join(ids)
+            yield own, self.decode(own)
         for word in [w for w in fresh if len(w) > LONG]:
-            del self.known[word], self.said[word]
+            del self.known[word]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included: this vocabulary has no decoder, so tokens stand apart."""

@@ -113,8 +113,10 @@ def docx_blocks(content: bytes) -> list[dict]:
             if element.tag == f"{W}p" and (text := _paragraph(element)).strip():
                 level = _level(element, styles)
                 out.append({"type": "paragraph" if level is None else "heading", "level": level, "section": None, "text": text, "rows": None})
-            elif element.tag == f"{W}tbl" and any(cell.strip() for row in (rows := _table(element)) for cell in row):
-                out.append({"type": "table", "level": None, "section": None, "text": None, "rows": rows})
+            elif element.tag == f"{W}tbl":
+                rows = _table(element)
+                if any(cell.strip() for row in rows for cell in row):
+                    out.append({"type": "table", "level": None, "section": None, "text": None, "rows": rows})
     return out
 
 

@@ -54,4 +54,4 @@ def ship(spark: SparkSession, log_dir: str, table: str, rejects: str, checkpoint
 
 def event_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by window and type, late ones dropped after ``late``: a convenience of this library."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("window"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("window"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

@@ -10,18 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Which characters normalisation drops or maps, and what compaction keeps.
-INVISIBLE = "​‌‍﻿⁠­"
+INVISIBLE = "\u200b\u200c\u200d\ufeff\u2060\u00ad"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-SPACES = "\t " + "".join(map(chr, range(0x2000, 0x200B))) + "  　"
-APOSTROPHES = "‘’′"
-QUOTES = "“”″"
-DASHES = "‐‑‒–—―−"
-BULLETS = "•●▪◦‣⁃·"
+SPACES = "\t\u00a0" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+APOSTROPHES = "\u2018\u2019\u2032"
+QUOTES = "\u201c\u201d\u2033"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
+BULLETS = "\u2022●▪◦\u2023\u2043\u00b7"
 KEPT = "가-힣A-Za-z0-9"
 #: What Python's strip takes off and the steps before it have left.
-STRIPPED = r"[\n \x85   ]"
+STRIPPED = r"[\n \x85\u1680\u2028\u2029]"
 #: All white space of Python's \s.
-WHITE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 @cache
@@ -93,8 +93,8 @@ def unwrapped_lines(text: Column) -> Column:
     """
     # The ends of sentences, starts of list items and broken characters.
     sentence = r"[.!?:다요함음됨죠]$"
-    item = r"^\s*([-•▪◦‣*]|\d+[.)]|[가나다라마][.)]|\([0-9가-힣]+\))\s+"
-    fixed = F.replace(F.replace(F.translate(text, "­", ""), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
+    item = r"^\s*([-\u2022▪◦\u2023*]|\d+[.)]|[가나다라마][.)]|\([0-9가-힣]+\))\s+"
+    fixed = F.replace(F.replace(F.translate(text, "\u00ad", ""), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
     lines = F.transform(F.split(fixed, "\n"), lambda x: F.regexp_replace(x, rf"\A{WHITE}+|{WHITE}+\z", ""))
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 

@@ -35,6 +35,9 @@ CAPACITY = 1024
 LARGE = 1 / 6
 #: Groups of equal cardinality, hence sizes that configurations are made of.
 GROUPS = 200
+#: How far from its optimum, at most, the linear program may stop.
+GAP = 5e-4
+TURNS = 15
 #: Rows that one window partition ranks.
 RANKED = 50_000
 
@@ -121,9 +124,10 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     held = np.array(sizes)
     basis = np.diag((capacity // held).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    need = np.array(demand, float)
+    # Equal groups make ties, and ties can send the simplex method round in circles: a trace of difference ends them.
+    need = np.array(demand, float) + 1e-3 * ((np.arange(n) * 0.6180339887) % 1)
     step_of = int(held.min())  # rooms that are less apart never build on each other
-    for turn in range(60 * n):
+    for turn in range(TURNS * n):  # whatever the turn, the basis is a way to pack everything
         prices = inverse.sum(axis=0)  # every configuration costs one bin
         worth, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
         for first in range(step_of, capacity + 1, step_of):
@@ -136,7 +140,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
             from_ = np.maximum.accumulate(np.where(own > worth[first - 1] + 1e-12, own, worth[first - 1]))
             fresh = (own >= from_) & (own > np.r_[worth[first - 1], from_[:-1]] + 1e-12)
             worth[rooms], chosen[rooms] = from_, np.where(fresh, best, -1)
-        if worth[capacity] <= 1 + 1e-7:
+        if worth[capacity] <= 1 + GAP:  # the optimum is no lower than the present cost over this worth
             break
         column, room = np.zeros(n), capacity
         while room > 0:
@@ -145,22 +149,23 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
             else:
                 column[chosen[room]] += 1
                 room -= sizes[chosen[room]]
-        level, step = inverse @ need, inverse @ column
+        # Sums of products, not the linear algebra library: its threads would contend with the cluster's driver.
+        level, step = (inverse * need).sum(axis=1), (inverse * column).sum(axis=1)
         ratios = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratios))
         basis[:, out] = column
-        if turn % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        else:  # the same by one pivot
-            row = inverse[out] / step[out]
-            inverse = inverse - np.outer(step, row)
-            inverse[out] = row
-    inverse = np.linalg.inv(basis)
-    level = inverse @ need
+        row = inverse[out] / step[out]
+        inverse = inverse - step[:, None] * row
+        inverse[out] = row
+    level = (inverse * np.array(demand, float)).sum(axis=1)
     found: dict[tuple[int, ...], int] = {}
+    left = np.array(demand, np.int64)
     for j in range(n):
-        if (times := int(level[j] + 1e-9)) > 0:
-            key = tuple(int(x) for x in np.rint(basis[:, j]))
+        config = np.rint(basis[:, j]).astype(np.int64)
+        times = min(int(level[j] + 1e-6), int((left[config > 0] // config[config > 0]).min(initial=1 << 60)))
+        if times > 0:
+            left -= times * config
+            key = tuple(config.tolist())
             found[key] = found.get(key, 0) + times
     return list(found.items())
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakloom.llm import chat_format, embedding_dedup, exact_topk, language_id, packing, quality, secret_scan, simhash, toxicity, trie_bpe
+from leakloom.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "conversations") else table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

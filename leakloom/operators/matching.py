@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakloom.functions.text import kept_length, window_count
 from leakloom.operators.registry import identifying
 from leakloom.operators.windows import SIFTED, WINDOW, windows
 
@@ -25,7 +24,7 @@ def sieve(postings: DataFrame, limit: int = SIFTED) -> np.ndarray | None:
 
 
 def matches(prompts: DataFrame, postings: DataFrame, id_col: str, normal_col: str, limit: int = SIFTED, window: int = WINDOW) -> DataFrame:
-    """(id, pos, hash, in_start, in_end, doc_id, doc_start, doc_end) of each prompt window in an identifying posting.
+    """(id, pos, hash, in_start, in_end, n_windows, input_len, doc_id, doc_start, doc_end) of each prompt window in an identifying posting.
 
     Where the registry's hashes are few enough to broadcast, only windows among them
     leave the scan of the prompts; else all of them meet the postings in a shuffled join.
@@ -33,7 +32,7 @@ def matches(prompts: DataFrame, postings: DataFrame, id_col: str, normal_col: st
     unique = identifying(postings)
     probes = windows(prompts, id_col, normal_col, window, sieve(unique, limit)).withColumnsRenamed({"start": "in_start", "end": "in_end"})
     found = unique.select("hash", "doc_id", F.col("start").alias("doc_start"), F.col("end").alias("doc_end"))
-    return probes.join(found, "hash").select(id_col, "pos", "hash", "in_start", "in_end", "doc_id", "doc_start", "doc_end")
+    return probes.join(found, "hash").select(id_col, "pos", "hash", "in_start", "in_end", "n_windows", "input_len", "doc_id", "doc_start", "doc_end")
 
 
 def sampled(found: DataFrame, id_col: str) -> DataFrame:
@@ -74,8 +73,7 @@ def signals(prompts: DataFrame, postings: DataFrame, id_col: str, normal_col: st
     and examined windows and their ratio ``score``, rounded to three places; spans, an
     array of the top three.
     """
-    sizes = prompts.select(id_col, window_count(F.col(normal_col), WINDOW).cast("long").alias("n_windows"), kept_length(F.col(normal_col)).alias("input_len"))
-    found = matches(prompts, postings, id_col, normal_col, limit).join(sizes, id_col)
+    found = matches(prompts, postings, id_col, normal_col, limit)
     found = sampled(found, id_col) if sampling else found.withColumn("examined", F.col("n_windows"))
     spans = top_spans(match_spans(found, id_col), id_col)
     kept = ["in_start", "in_end", "doc_start", "doc_end", "windows"]

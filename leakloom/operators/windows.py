@@ -74,10 +74,11 @@ def compact(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(texts: DataFrame, id_col: str, text_col: str, window: int = WINDOW, among: np.ndarray | None = None) -> DataFrame:
-    """(id, pos, hash, start, end) of all windows of normalised texts, or of those whose hash is in sorted ``among``.
+    """(id, pos, hash, start, end, n_windows, input_len) of all windows of normalised texts, or of those whose hash is in sorted ``among``.
 
-    pos counts windows; start and end are places in the text. Null and short texts have
-    none. ``among`` (at most ``SIFTED`` hashes) spares the shuffle all other windows.
+    pos counts windows; start and end are places in the text; n_windows is how many the
+    text has and input_len the place after its last kept character. Null and short texts
+    have none. ``among`` (at most ``SIFTED`` hashes) spares the shuffle all other windows.
     """
     spark = texts.sparkSession
     ship_package(spark)
@@ -88,13 +89,14 @@ def windows(texts: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, pos, hashes, start, end, held = [], [], [], [], [], 0
+            owner, pos, hashes, start, end, sizes, held = [], [], [], [], [], [], 0
 
             def out() -> pa.RecordBatch:
                 which = np.repeat(np.array(owner, np.int64), [len(x) for x in pos])
                 columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pos, hashes, start, end)]
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32())
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], [id_col, "pos", "hash", "start", "end"])  # noqa: B023
+                per_text = np.repeat(np.array(sizes, np.int64).reshape(-1, 2), [len(x) for x in pos], axis=0)  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True)), pa.array(per_text[:, 0]), pa.array(per_text[:, 1].astype(np.int32))], [id_col, "pos", "hash", "start", "end", "n_windows", "input_len"])  # noqa: B023
 
             for k, text in enumerate(batch.column(1).to_pylist()):
                 codes, places = compact(text)
@@ -107,6 +109,7 @@ def windows(texts: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
                 for a in range(0, len(at), ROWS):
                     some = at[a : a + ROWS]
                     owner.append(k)
+                    sizes.append((len(own), int(places[-1]) + 1))
                     pos.append(some)
                     hashes.append(own[some])
                     start.append(places[some])
@@ -114,12 +117,12 @@ def windows(texts: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
                     held += len(some)
                     if held >= ROWS:
                         yield out()
-                        owner, pos, hashes, start, end, held = [], [], [], [], [], 0
+                        owner, pos, hashes, start, end, sizes, held = [], [], [], [], [], [], 0
             if owner:
                 yield out()
 
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, pos int, hash long, start int, end int")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, pos int, hash long, start int, end int, n_windows long, input_len int")
 
 
 def exact_hash(codes):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leakloom.functions import recognizers, spans, text
 from leakloom.operators import decisions, evaluation, locate, matching, registry, windows
 from leakloom.plans import oracles
+from leakloom.session import spread
 from leakloom.sources import formats, logs, payloads
 
 AS_OF = "2026-01-01"
@@ -17,7 +18,8 @@ EXCERPTS = [20, 25, 30, 35, 40, 50, 60, 75, 100, 150, 200]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "conversations") else table
 
 
 def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def window_counts(spark, sf_dir):
 
 def window_hash_exact(spark, sf_dir):
     items = _table(spark, sf_dir, "benchmark").select("item_id", text.normalize_text(F.col("text")).alias("normal"))
-    return _long(windows.windows(items, "item_id", "normal"))
+    return _long(windows.windows(items, "item_id", "normal").drop("n_windows", "input_len"))
 
 
 def shared_windows(spark, sf_dir):
@@ -90,10 +92,7 @@ def excerpt_matches(spark, sf_dir):
 
 
 def _sized(spark, sf_dir):
-    prompts = _prompts(spark, sf_dir)
-    sizes = prompts.select("prompt_id", text.window_count(F.col("normal"), windows.WINDOW).cast("long").alias("n_windows"), text.kept_length(F.col("normal")).alias("input_len"))
-    found = matching.matches(prompts, _registry(spark, sf_dir), "prompt_id", "normal").join(sizes, "prompt_id")
-    return matching.sampled(found, "prompt_id")
+    return matching.sampled(matching.matches(_prompts(spark, sf_dir), _registry(spark, sf_dir), "prompt_id", "normal"), "prompt_id")
 
 
 def match_clusters(spark, sf_dir):

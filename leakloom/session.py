@@ -48,3 +48,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its scan has fewer splits than those, as one small file has.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

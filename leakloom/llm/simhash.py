@@ -44,6 +44,10 @@ CHAIN = 3
 HASHED = 1 << 16
 #: Pairs that are compared at a time.
 PAIRS = 1 << 18
+#: Shingles of texts that are compared with each other at a time.
+COMPARED = 1 << 20
+#: Standard deviations by which a pair right at the similarity may differ in more bits than expected.
+SIGMAS = 3
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -75,6 +79,16 @@ def fingerprint_words(text: str, shingle: int = SHINGLE, bits: int = 64) -> np.n
     return np.packbits(2 * ones > total).view(">u8").astype(np.uint64)
 
 
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles' XXH64, sorted; none for a text without words."""
+    words = text.encode().translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)), strict=False)), np.uint64))
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint, unsigned."""
     return int(fingerprint_words(text, shingle)[0])
@@ -241,7 +255,7 @@ def apart(similarity: float) -> float:
 
 
 def similar_links(nodes: DataFrame, bits: int, key_bits: int, tables: int, budget: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between nodes (node, fingerprint of ``bits`` bits) that agree in a whole segment and are close.
+    """Links (a, b) between nodes (node, fingerprint of ``bits`` bits) that agree in a whole segment and are close, for an exact check.
 
     The segments of ``key_bits`` bits form a ring. Nodes that agree in one meet; the chain
     from there on must keep within its share of the budget for CHAIN segments, then the
@@ -329,18 +343,97 @@ def similar_links(nodes: DataFrame, bits: int, key_bits: int, tables: int, budge
     return in_batches(met, meet, "a long, b long")
 
 
+def alike(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever nodes have a Jaccard similarity of at least ``similarity``.
+
+    All pairs are compared but those that are connected already.
+    """
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(distinct), bool)
+    label = np.arange(len(nodes))
+    a, b = [], []
+    for i in range(len(nodes)):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        rest = rest[np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 1e-6]
+        if not len(rest):
+            continue
+        own = place[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        first = np.cumsum(sizes[rest]) - sizes[rest]
+        hits = marked[place[np.repeat(starts[rest] - first, sizes[rest]) + np.arange(sizes[rest].sum())]]
+        common = np.add.reduceat(hits, first, dtype=np.int64)
+        marked[own] = False
+        good = rest[common / (sizes[rest] + sizes[i] - common) >= similarity]
+        if len(good):
+            joined, at = np.unique(label[good], return_index=True)
+            a.append(np.full(len(at), nodes[i]))
+            b.append(nodes[good[at]])
+            label[np.isin(label, joined)] = label[i]
+    return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+
+
+def verified_links(docs: DataFrame, met: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, similarity: float = SIMILARITY, compared: int = COMPARED) -> DataFrame:
+    """Links (a, b) between ids that one component of ``met`` (node, component) holds and whose texts are ``similarity`` alike.
+
+    The similarity is the Jaccard similarity of the sets of shingles, without estimate.
+    Components with more than ``compared`` shingles are cut into blocks that meet two by two.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, shingle) for text in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["component"], batch["id"], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["component", "node", "n", "shingles"])
+
+    texts = narrow(docs, id_col, text_col).join(met, F.col("id") == F.col("node")).select("component", "id", "text")
+    rows = checkpointed(in_batches(texts, spread, "component long, node long, n long, shingles binary").filter("n > 0"))
+    large = checkpointed(rows.groupBy("component").agg(F.sum("n").alias("n")).filter(F.col("n") > compared).select("component", F.ceil(F.col("n") / compared).cast("int").alias("blocks")))
+    if large.isEmpty():
+        rows = rows.select("*", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    else:
+        rows = rows.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> own or blocks = 1")
+        rows = rows.select("component", "node", "shingles", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    together = rows.select("component", "low", "high", "node", "shingles").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "node")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sets, seen = None, [], [], set()
+
+        def done() -> pa.RecordBatch:
+            a, b = alike(np.array(nodes, np.int64), sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for *now, node, raw in zip(*(batch[x].to_pylist() for x in ("component", "low", "high", "node", "shingles")), strict=True):
+                if now != group:
+                    if len(nodes) > 1:
+                        yield done()
+                    group, nodes, sets = now, [], []
+                if not nodes or node != nodes[-1]:
+                    seen = set()
+                if raw not in seen:  # repeated rows of one id
+                    seen.add(raw)
+                    nodes.append(node)
+                    sets.append(np.frombuffer(raw, "<u8"))
+        if len(nodes) > 1:
+            yield done()
+
+    return in_batches(together, meet, "a long, b long")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """id and component_id of every row, texts whose shingles are about ``similarity`` alike being linked.
+    """id and component_id of every row, texts whose shingles are ``similarity`` alike being linked.
 
     Such texts differ in too many of 64 bits for an exact index, so fingerprints are
     longer: as many segments as find nine in ten pairs right at ``similarity``, and nearly
-    all closer ones. The longer fingerprint also tells similarities apart to some
-    hundredths. Rules for rows and ids are those of ``near_duplicates``.
+    all closer ones. They only say which texts may be alike; the shingles themselves say
+    which are. Rules for rows and ids are those of ``near_duplicates``.
     """
     key_bits = min(32, max(16, math.ceil(math.log2(max(1, docs.count()) / 64))))
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - apart(similarity)) ** key_bits))
     bits = -(-tables * key_bits // 64) * 64
-    budget = int(bits * apart(similarity) + math.sqrt(bits * apart(similarity) * (1 - apart(similarity))))
+    budget = math.ceil(bits * apart(similarity) + SIGMAS * math.sqrt(bits * apart(similarity) * (1 - apart(similarity))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,6 +443,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = checkpointed(in_batches(narrow(docs, id_col, text_col), run, "id long, fingerprint binary"))
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("node"))
     links = similar_links(nodes.filter("node is not null"), bits, key_bits, tables, budget, block)
+    links = verified_links(docs, connected_components(links, "a", "b"), id_col, text_col, shingle, similarity)
     found = connected_components(links.unionByName(_same_id(prints, nodes)), "a", "b")
     named = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fingerprint").select("id", "component_id")

@@ -118,3 +118,48 @@ def test_a_dense_group_is_one_component(spark, block):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["component_id"] for r in simhash.similar_components(docs, block=block).collect()} == {0}
     assert simhash.deduplicated(docs.withColumn("key", F.lit(1))).count() == 1
+
+
+def jaccard(a, b):
+    one, other = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(one & other) / len(one | other)
+
+
+def test_texts_below_the_similarity_stay_apart(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    line = list(rng.choice(vocabulary, 10))
+    unrelated = [" ".join([*rng.choice(vocabulary, 300), *line * 20]) for _ in range(2)]
+    assert jaccard(*unrelated) < 0.05
+    rows = [(1, unrelated[0]), (2, unrelated[1])]
+    for k in range(1, 100):  # 35 of 296 shingles: a similarity just below 0.8
+        words = list(rng.choice(vocabulary, 300))
+        changed = words.copy()
+        for at in range(10, 290, 40):
+            changed[at] = "changed"
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(changed))]
+        assert 0.75 < jaccard(rows[-2][1], rows[-1][1]) < 0.8
+    got = {r["id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows}
+
+
+@pytest.mark.parametrize("compared", [1 << 20, 40])
+def test_verified_links_against_all_pairs(spark, compared):
+    rng = np.random.default_rng(6)
+    base = [list(rng.choice(["a", "b", "c", "d", "e", "f", "g"], 30)) for _ in range(4)]
+    rows = []
+    for k in range(80):
+        words = base[k % 4].copy()
+        for at in rng.choice(30, rng.integers(0, 3), replace=False):
+            words[at] = "z"
+        rows.append((k, " ".join(words)))
+    near = np.array([[jaccard(a, b) >= 0.8 for _, b in rows] for _, a in rows])
+    label = np.arange(len(rows))
+    while (label != (label := np.array([label[x].min() for x in near]))).any():
+        pass
+    met = spark.createDataFrame([(k, k % 2) for k in range(80)], "node long, component long")
+    links = simhash.verified_links(spark.createDataFrame(rows, "doc_id long, text string"), met, "doc_id", "text", compared=compared)
+    from leakloom.llm.components import connected_components
+
+    got = {k: k for k in range(80)} | {r["node"]: r["component"] for r in connected_components(links, "a", "b").collect()}
+    assert [got[k] for k in range(80)] == label.tolist() and len(set(label.tolist())) > 4

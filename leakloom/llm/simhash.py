@@ -20,7 +20,7 @@ every probe in a task of its own.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,10 @@ SEED = 42
 SHINGLE = 5
 BUDGET = 4
 BLOCK = 4096
-#: For a given similarity: found at least so often right there; segments of a chain that are checked.
+#: For a given similarity: bits of a fingerprint; found at least so often right there, by all tests together; segments of a chain that are checked.
 SIMILARITY = 0.8
-RECALL = 0.9
+BITS = 512
+RECALL = 0.95
 CHAIN = 3
 #: Shingles that are hashed at a time.
 HASHED = 1 << 16
@@ -51,23 +52,21 @@ SIGMAS = 3
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint_words(text: str, shingle: int = SHINGLE, bits: int = 64) -> np.ndarray:
-    """A text's fingerprint as 64-bit words; all zero for a text without words.
-
-    Words are what ASCII white space leaves of the text with A-Z in lower case. A bit is
-    set if it is in over half the shingles' hashes, repeats included. The first 64 bits
-    of a hash are the shingle's XXH64, the others are mixed from it.
-    """
-    words = text.encode().translate(LOWER).split()
-    if not words:
-        return np.zeros(bits // 64, np.uint64)
-    total = max(1, len(words) - shingle + 1)
-    ones = np.zeros(bits, np.int64)
+def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """The shingles' XXH64, HASHED at a time; fewer words than a shingle has are one."""
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for first in range(0, total, HASHED):
-        part = words[first : min(first + HASHED, total) + shingle - 1]
-        hashes = [digest(join(x), SEED) for x in zip(*(part[k:] for k in range(shingle)), strict=False)] if len(words) >= shingle else [digest(join(words), SEED)]
-        mixed = np.array(hashes, np.uint64)
+    if len(words) < shingle:
+        yield np.array([digest(join(words), SEED)], np.uint64)
+    for first in range(0, len(words) - shingle + 1, HASHED):
+        part = words[first : first + HASHED + shingle - 1]
+        yield np.array([digest(join(x), SEED) for x in zip(*(part[k:] for k in range(shingle)), strict=False)], np.uint64)
+
+
+def _majority(hashes: Iterable[np.ndarray], bits: int) -> np.ndarray:
+    """A bit is set if it is in over half the hashes. The bits after the first 64 are mixed from a hash."""
+    ones, total = np.zeros(bits, np.int64), 0
+    for mixed in hashes:
+        total += len(mixed)
         for k in range(bits // 64):
             if k:
                 mixed = mixed + np.uint64(0x9E3779B97F4A7C15)
@@ -79,14 +78,27 @@ def fingerprint_words(text: str, shingle: int = SHINGLE, bits: int = 64) -> np.n
     return np.packbits(2 * ones > total).view(">u8").astype(np.uint64)
 
 
+def fingerprint_words(text: str, shingle: int = SHINGLE, bits: int = 64) -> np.ndarray:
+    """A text's fingerprint as 64-bit words; all zero for a text without words.
+
+    Words are what ASCII white space leaves of the text with A-Z in lower case. A bit is
+    set if it is in over half the shingles' hashes, repeats included. The first 64 bits
+    of a hash are the shingle's XXH64, the others are mixed from it.
+    """
+    words = text.encode().translate(LOWER).split()
+    return _majority(_hashes(words, shingle), bits) if words else np.zeros(bits // 64, np.uint64)
+
+
+def set_fingerprint(text: str, shingle: int = SHINGLE, bits: int = BITS) -> np.ndarray:
+    """The same over the distinct shingles, so that repeats, which a Jaccard similarity does not see, do not count."""
+    found = shingle_set(text, shingle)
+    return _majority((found[at : at + HASHED] for at in range(0, len(found), HASHED)), bits)
+
+
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct shingles' XXH64, sorted; none for a text without words."""
     words = text.encode().translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)), strict=False)), np.uint64))
+    return np.unique(np.concatenate([*_hashes(words, shingle)])) if words else np.zeros(0, np.uint64)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -254,18 +266,58 @@ def apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar_links(nodes: DataFrame, bits: int, key_bits: int, tables: int, budget: int, block: int = BLOCK) -> DataFrame:
+def within(bits: int, similarity: float) -> int:
+    """Bits of ``bits`` in which texts right at ``similarity`` differ at most, but for one pair in several hundred."""
+    share = apart(similarity)
+    return min(bits, math.ceil(bits * share + SIGMAS * math.sqrt(bits * share * (1 - share))))
+
+
+def tables_for(key_bits: int, similarity: float = SIMILARITY, recall: float = RECALL, bits: int = BITS) -> int:
+    """How many segments find ``recall`` of the pairs right at ``similarity``, the chain and Hamming tests included.
+
+    Which segments two fingerprints share depends on how many bits they differ in, so
+    that number is summed over.
+    """
+    share, differ = apart(similarity), np.arange(within(bits, similarity) + 1)
+    chance = np.exp([math.lgamma(bits + 1) - math.lgamma(n + 1) - math.lgamma(bits - n + 1) + n * math.log(share) + (bits - n) * math.log(1 - share) for n in differ.tolist()])
+    chain = 1.0
+    for step in range(1, CHAIN):
+        n = step * key_bits
+        chain *= sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(within(n, similarity) + 1))
+    met = chain * np.prod([np.maximum(0, bits - differ - k) / (bits - k) for k in range(key_bits)], axis=0)
+    tables = 1
+    while tables < 1 << 14 and chance @ (1 - (1 - met) ** tables) < recall:
+        tables += 1
+    return tables
+
+
+def rings(key_bits: int, tables: int, bits: int = BITS) -> list[np.ndarray]:
+    """Orders of the bits: as they are, then shuffled, as many as it takes for ``tables`` segments."""
+    orders = -(-tables // (bits // key_bits))
+    return [np.arange(bits) if k == 0 else np.random.default_rng([SEED, k]).permutation(bits) for k in range(orders)]
+
+
+def similar_links(nodes: DataFrame, key_bits: int, tables: int, similarity: float = SIMILARITY, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """Links (a, b) between nodes (node, fingerprint of ``bits`` bits) that agree in a whole segment and are close, for an exact check.
 
-    The segments of ``key_bits`` bits form a ring. Nodes that agree in one meet; the chain
-    from there on must keep within its share of the budget for CHAIN segments, then the
-    full Hamming distance within the budget. Buckets give stars, never pairs; those of
+    The segments of ``key_bits`` bits form a ring; where there are more of them than the
+    bits have room for, further rings have the bits in other orders. Nodes that agree in
+    one meet; the chain from there on must keep within its share for CHAIN segments, then
+    the full Hamming distance within its own. Buckets give stars, never pairs; those of
     more than ``block`` nodes are cut into blocks that meet two by two.
     """
     kinds = "key long, own int, low int, high int, node long, fingerprint binary"
+    orders, each = rings(key_bits, tables, bits), bits // key_bits
+    chains = np.zeros((CHAIN, tables, bits), bool)  # the bits of the chain so far, without its first segment
+    for step in range(1, CHAIN):
+        for t in range(tables):
+            chains[step, t] = chains[step - 1, t]
+            chains[step, t, orders[t // each][(t + step) % each * key_bits :][:key_bits]] = True
+    chains = np.packbits(chains, axis=2).view(">u8").astype(np.uint64)
+    budget, budgets = within(bits, similarity), [within(step * key_bits, similarity) for step in range(CHAIN)]
 
     def segment(prints: np.ndarray, t: int) -> np.ndarray:
-        at, inside = divmod(t % tables * key_bits, 64)
+        at, inside = divmod(t % each * key_bits, 64)
         value = prints[:, at] << np.uint64(inside)
         if inside + key_bits > 64:
             value = value | (prints[:, at + 1] >> np.uint64(64 - inside))
@@ -276,9 +328,12 @@ def similar_links(nodes: DataFrame, bits: int, key_bits: int, tables: int, budge
             for first in range(0, len(batch), 2048):
                 part = batch.slice(first, 2048)
                 prints = np.frombuffer(b"".join(part["fingerprint"].to_pylist()), "<u8").reshape(len(part), -1)
+                single = np.unpackbits(prints.astype(">u8").view(np.uint8), axis=1)
                 zeros = pa.array(np.zeros(len(part), np.int32))
                 for t in range(tables):
-                    key = (np.uint64(t) << np.uint64(48)) | segment(prints, t)
+                    if t % each == 0:
+                        turned = np.ascontiguousarray(np.packbits(single[:, orders[t // each]], axis=1)).view(">u8").astype(np.uint64)
+                    key = (np.uint64(t) << np.uint64(48)) | segment(turned, t)
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), zeros, zeros, zeros, part["node"], part["fingerprint"]], ["key", "own", "low", "high", "node", "fingerprint"])
 
     rows = in_batches(nodes.select("node", "fingerprint"), spread, kinds)
@@ -303,18 +358,11 @@ def similar_links(nodes: DataFrame, bits: int, key_bits: int, tables: int, budge
             there = here + step
             good = (low[here] == high[here]) | (own[here] != own[there])
             i, j = here[good], there[good]
-            apart_so_far = np.zeros(len(i), np.int64)
+            differ = prints[i] ^ prints[j]
             for chain in range(1, CHAIN):
-                # Of each table apart: which segment comes next depends on the key.
-                differ = np.zeros(len(i), np.int64)
-                table = key[i] >> 48
-                for t in np.unique(table):
-                    mine = table == t
-                    differ[mine] = np.bitwise_count(segment(prints[i[mine]], int(t) + chain) ^ segment(prints[j[mine]], int(t) + chain))
-                apart_so_far += differ
-                kept = apart_so_far <= (chain + 1) * budget // tables
-                i, j, apart_so_far = i[kept], j[kept], apart_so_far[kept]
-            close = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= budget
+                kept = np.bitwise_count(differ & chains[chain, key[i] >> 48]).sum(axis=1, dtype=np.int64) <= budgets[chain]
+                i, j, differ = i[kept], j[kept], differ[kept]
+            close = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= budget
             a.append(node[i[close]])
             b.append(node[j[close]])
             held += len(a[-1])
@@ -426,23 +474,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id and component_id of every row, texts whose shingles are ``similarity`` alike being linked.
 
     Such texts differ in too many of 64 bits for an exact index, so fingerprints are
-    longer: as many segments as find nine in ten pairs right at ``similarity``, and nearly
-    all closer ones. They only say which texts may be alike; the shingles themselves say
+    longer, and have as many segments as find RECALL of the pairs right at ``similarity``,
+    and nearly all closer ones. They only say which texts may be alike; the shingles themselves say
     which are. Rules for rows and ids are those of ``near_duplicates``.
     """
     key_bits = min(32, max(16, math.ceil(math.log2(max(1, docs.count()) / 64))))
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - apart(similarity)) ** key_bits))
-    bits = -(-tables * key_bits // 64) * 64
-    budget = math.ceil(bits * apart(similarity) + SIGMAS * math.sqrt(bits * apart(similarity) * (1 - apart(similarity))))
+    tables = tables_for(key_bits, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint_words(text, shingle, bits).astype("<u8").tobytes() for text in batch["text"].to_pylist()]
+            found = [set_fingerprint(text, shingle).astype("<u8").tobytes() for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.binary())], ["id", "fingerprint"])
 
     prints = checkpointed(in_batches(narrow(docs, id_col, text_col), run, "id long, fingerprint binary"))
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("node"))
-    links = similar_links(nodes.filter("node is not null"), bits, key_bits, tables, budget, block)
+    links = similar_links(nodes.filter("node is not null"), key_bits, tables, similarity, block)
     links = verified_links(docs, connected_components(links, "a", "b"), id_col, text_col, shingle, similarity)
     found = connected_components(links.unionByName(_same_id(prints, nodes)), "a", "b")
     named = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))

@@ -163,3 +163,30 @@ def test_verified_links_against_all_pairs(spark, compared):
 
     got = {k: k for k in range(80)} | {r["node"]: r["component"] for r in connected_components(links, "a", "b").collect()}
     assert [got[k] for k in range(80)] == label.tolist() and len(set(label.tolist())) > 4
+
+
+@pytest.mark.parametrize("key_bits", [16, 21])
+def test_recall_right_at_the_similarity(spark, key_bits):
+    rng = np.random.default_rng(key_bits)
+    rows = []
+    for k in range(800):  # 160 shingles in both of 180 each: exactly 0.8
+        hashes = rng.integers(0, 1 << 63, 200, dtype=np.uint64) << np.uint64(1)
+        hashes |= rng.integers(0, 2, 200, dtype=np.uint64)
+        for j, own in enumerate((hashes[:180], np.r_[hashes[:160], hashes[180:]])):
+            rows.append((2 * k + j, bytearray(simhash._majority([own], simhash.BITS).astype("<u8").tobytes())))
+    nodes = spark.createDataFrame(rows, "node long, fingerprint binary").repartition(4)
+    links = simhash.similar_links(nodes, key_bits, simhash.tables_for(key_bits))
+    found = {r["a"] // 2 for r in links.collect() if r["a"] // 2 == r["b"] // 2}
+    assert len(found) >= 0.93 * 800  # 0.95 less two standard deviations and more
+
+
+def test_repeats_do_not_hide_similar_texts(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(40):
+        body, line = list(rng.choice(vocabulary, 300)), list(rng.choice(vocabulary, 10))
+        rows += [(2 * k, " ".join([*body, *line * 20])), (2 * k + 1, " ".join([*body, *line * 2]))]
+        assert jaccard(rows[-2][1], rows[-1][1]) > 0.99
+    got = {r["id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}

@@ -3,7 +3,9 @@
 A vocabulary learnt from ordinary text packs words into few tokens; random strings
 break into many. Runs of key-like characters with few characters a token are
 reported as ``random``, unless they are known digests, identifiers, or inside what
-the fixed patterns found. Kinds, in order: assign, access, hex, random.
+the fixed patterns found. What is left of a run outside those is tested whole, then
+by its pieces between joining characters, then by windows, so that readable text
+around a random string does not hide it. Kinds, in order: assign, access, hex, random.
 """
 
 from __future__ import annotations
@@ -38,9 +40,24 @@ EFFICIENCY = 2.0
 
 #: Known digests: hexadecimal of a hash function's length; UUIDs.
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12})\Z")
+#: The same inside a run, and what joins the pieces of a run.
+DIGESTS = re.compile(r"(?<![A-Za-z0-9])" + DIGEST.pattern.removesuffix(r"\Z") + r"(?![A-Za-z0-9])")
+PIECE = re.compile(r"[A-Za-z0-9]+")
 #: Identifiers: words in lower, upper or capitalised letters, joined by underscores, hyphens, slashes or plus
 #: signs or run together, with numbers only as parts of their own; plain numbers; rules of one character.
-IDENTIFIER = re.compile(r"(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z](?=[_/+=-]|\Z)|(?<![A-Za-z0-9])[0-9]+(?=[_/+=-]|\Z)))+[0-9]{0,4}[_/+=-]*\Z")
+IDENTIFIER = re.compile(r"(?:[_/+=-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[A-Za-z](?=[_/+=-]|\Z)|(?<![A-Za-z0-9])[0-9]++(?=[_/+=-]|\Z)))++[0-9]{0,4}[_/+=-]*\Z")
+
+
+def _outside(spans: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """What of start to end is in none of the spans."""
+    out = []
+    for a, b in sorted(spans):
+        if a > start:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+    if start < end:
+        out.append((start, end))
+    return out
 
 
 class SecretScanner:
@@ -66,6 +83,31 @@ class SecretScanner:
             return False  # one kind of character is a word, a number or a rule
         return len(run) < self.efficiency * len(self.tokens.encode_ordinary(run))
 
+    def within(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of the random strings in a run: all of it, else its pieces, else windows of what is left.
+
+        Where only windows tell, a place may reach some characters into the text around.
+        """
+        found: list[tuple[int, int]] = []
+        for a, b in _outside([m.span() for m in DIGESTS.finditer(run)], 0, len(run)):
+            if self.random(run[a:b]):
+                found.append((a, b))
+                continue
+            pieces = [m.span() for m in PIECE.finditer(run, a, b) if self.random(m[0])]
+            found += pieces
+            for x, y in _outside(pieces, a, b):
+                if IDENTIFIER.match(run[x:y]):
+                    continue
+                end = -1
+                for at in range(x, y - CANDIDATE_LEAST + 1):
+                    if self.random(run[at : at + CANDIDATE_LEAST]):
+                        if at <= end:
+                            found[-1] = (found[-1][0], at + CANDIDATE_LEAST)
+                        else:
+                            found.append((at, at + CANDIDATE_LEAST))
+                        end = at + CANDIDATE_LEAST
+        return found
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) by start, then kind; code points, end exclusive."""
         found: list[tuple[int, int, int]] = []
@@ -78,8 +120,9 @@ class SecretScanner:
             own = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= ACCESS_LEAST]
             own += [(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b) if m.end() - m.start() >= HEX_LEAST]
             found += own
-            if not own and not any(x < b and a < y for x, y in covers) and self.random(run[0]):
-                found.append((a, 3, b))
+            for x, y in _outside([(m, n) for m, _, n in own] + [c for c in covers if c[0] < b and a < c[1]], a, b):
+                if y - x >= CANDIDATE_LEAST:
+                    found += [(x + m, 3, x + n) for m, n in self.within(text[x:y])]
         return [(KINDS[kind], a, b) for a, kind, b in sorted(found)]
 
     def redacted(self, text: str, instead: str) -> str:

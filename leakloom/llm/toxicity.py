@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows of ordinary text and one on
-what windows of toxic text say that ordinary text does not (words that no ordinary row
-of the sample has and that several toxic rows share). A window is compressed twice:
+what windows of toxic text say more often than ordinary text does (words whose rows are
+toxic far beyond chance, some ordinary rows notwithstanding). A window is compressed twice:
 with the ordinary dictionary, and with the toxic one laid before the ordinary one.
 Where nothing toxic is said the two lengths agree almost to the byte; the bytes saved
 otherwise are the window's gain.
@@ -39,8 +39,10 @@ SEGMENT, COUNTED = 16, 6
 #: A bounded sample to learn from: rows of each label, and bytes.
 SAMPLE_ROWS = {0: 6000, 1: 3000}
 SAMPLE_BYTES = {0: 24_000_000, 1: 12_000_000}
-#: Toxic rows that must share a new word: so many, and this share of them.
+#: A toxic word is in so many toxic rows, and this share of them if in no ordinary one; else it is so many times as
+#: frequent in toxic rows, by a difference that no word of the sample is expected to show by chance.
 SHARED_BY, SHARE = 3, 0.05
+ODDS = 4.0
 #: Larger gains count as this one.
 MOST = 12
 EVIDENCE = 30.0
@@ -112,6 +114,25 @@ class ToxicityModel:
         return (1 - FINE) * level + FINE / (1 + math.exp(-evidence / 5))
 
 
+def toxic_words(ordinary: list[str], toxic: list[str]) -> dict[bytes, int]:
+    """Words that speak for toxic rows, the rarest first, with the toxic rows that have them.
+
+    The difference is measured by the likelihood ratio of the rows of either kind; the
+    more words there are to choose from, the larger it has to be.
+    """
+    said, shared = (Counter(word for text in texts for word in set(text.lower().encode().split())) for texts in (ordinary, toxic))
+    chance = len(toxic) / (len(toxic) + len(ordinary))
+    least = 2 * math.log(max(2, len(said | shared)))
+    out = []
+    for word, n in shared.items():
+        o = said[word]
+        ratio = 2 * (n * math.log(n / ((n + o) * chance)) + (o and o * math.log(o / ((n + o) * (1 - chance)))))
+        odds = (n + 0.5) / (len(toxic) + 1) / ((o + 0.5) / (len(ordinary) + 1))
+        if n >= SHARED_BY and (not o and n >= SHARE * len(toxic) or odds >= ODDS and ratio >= least):
+            out.append((n, word))
+    return {word: n for n, word in sorted(out)}
+
+
 def learn(ordinary: list[str], toxic: list[str], window: int = WINDOW, level: int = LEVEL) -> ToxicityModel:
     """A model from texts of either kind; without toxic ones all scores are low, without anything new in them all are alike."""
     model = ToxicityModel(window=window, level=level)
@@ -121,9 +142,7 @@ def learn(ordinary: list[str], toxic: list[str], window: int = WINDOW, level: in
     model.levels = np.array([len(toxic) / (len(toxic) + len(ordinary))])
     taught, kept = ordinary[::2], ordinary[1::2] or ordinary
     model.ordinary = trained(ORDINARY_BYTES, [x for text in taught for x in windows(text, window)])
-    said = {word for text in ordinary for word in text.lower().encode().split()}
-    shared = Counter(word for text in toxic for word in set(text.lower().encode().split()) - said)
-    new = {word for word, n in shared.items() if n >= max(SHARED_BY, SHARE * len(toxic))}
+    new = toxic_words(ordinary, toxic)
     samples = []
     for text in toxic:
         for x in windows(text, window):
@@ -131,7 +150,8 @@ def learn(ordinary: list[str], toxic: list[str], window: int = WINDOW, level: in
                 samples.append(b" " + b" ".join(own) + b" ")
     if not samples:
         return model
-    model.toxic = trained(TOXIC_BYTES, samples, k=SEGMENT, d=COUNTED)
+    # The trainer leaves out what is rare; all the words stand before its choice.
+    model.toxic = b" " + b" ".join(new) + b" " + trained(TOXIC_BYTES, samples, k=SEGMENT, d=COUNTED)
     seen = []
     for texts in (kept, toxic):
         counts = np.ones(MOST + 1)

@@ -192,3 +192,18 @@ def test_toxicity_of_awkward_documents(spark, awkward, nothing):
     model = toxicity.fit(nothing, labels)
     assert toxicity.score(nothing, model).count() == 0
     assert toxicity.kept(awkward, model).count() == awkward.count() and toxicity.kept(awkward, model).columns == awkward.columns
+
+
+def test_toxic_words_that_are_rare_or_said_by_an_ordinary_row_too():
+    rng = np.random.default_rng(4)
+    words = [f"word{k}" for k in range(300)]
+    text = lambda *more: " ".join([*rng.choice(words, 60), *more])
+    ordinary = [text() for _ in range(1199)] + [text("trashbag")]
+    toxic = [text("trashbag", "trashbag") for _ in range(570)] + [text("clownface", "clownface") for _ in range(30)]
+    found = toxicity.toxic_words(ordinary, toxic)
+    assert set(found) == {b"trashbag", b"clownface"}
+    model = toxicity.learn(ordinary, toxic)
+    for word in found:
+        own = word.decode()
+        assert np.mean([model.score(text(own, own)) >= 0.5 for _ in range(50)]) > 0.9, own
+    assert np.mean([model.score(text()) < 0.5 for _ in range(50)]) > 0.9

@@ -8,6 +8,8 @@ the same ids several times as fast; the tests hold it against the library.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
 import numpy as np
 import tiktoken
@@ -16,6 +18,9 @@ import tiktoken
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: tiktoken's pattern fails on runs of about a million white-space characters, so longer ones than this go round it.
+WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{20000,}")
+
 
 def written_bytes() -> list[str]:
     """The character that stands for each byte: itself where printable, else the next from U+0100 on."""
@@ -44,7 +49,19 @@ class ByteTokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit numbers; the strings of special tokens are those tokens."""
-        return self.tables.encode_to_numpy(text, allowed_special="all")
+        return self._around(text, lambda x: self.tables.encode_to_numpy(x, allowed_special="all"), tuple(self.special))
 
     def encode_ordinary(self, text: str) -> np.ndarray:
-        return self.tables.encode_to_numpy(text, disallowed_special=())
+        return self._around(text, lambda x: self.tables.encode_to_numpy(x, disallowed_special=()), ())
+
+    def _around(self, text: str, encode: Callable[[str], np.ndarray], special: tuple[str, ...]) -> np.ndarray:
+        """The ids of a text whose long white-space runs are cut out as the pre-tokens that they are.
+
+        The last character of a run is the next pre-token's, but before a special token and at the end.
+        """
+        out, at = [], 0
+        for run in WHITE.finditer(text):
+            end = run.end() - (run.end() < len(text) and not text.startswith(special, run.end()))
+            out += [encode(text[at : run.start()]), np.array(self.tables._encode_single_piece(text[run.start() : end]), np.uint32)]
+            at = end
+        return np.concatenate([*out, encode(text[at:])]) if out else encode(text)

@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leakloom.llm import packing
+from leakloom.llm import byte_tokens, packing
 from leakloom.llm.byte_tokens import ByteTokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,3 +93,16 @@ def test_whole_table_and_hot_lengths(spark, small, library):
     rows = packing.packed(pieces, ranked=50).collect()
     used = check(rows, [(r["doc_id"], r["text"]) for r in hot.collect()], library, 1024)
     assert used <= 1.02 * -(-sum(r["length"] for r in rows) // 1024) + 1
+
+
+@pytest.mark.parametrize("white", [" ", "\n", " \n"])
+def test_long_runs_of_white_space(white, monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        tokens = byte_tokens.ByteTokenizer(f.read())
+    for text in (f"a{white * 30}b", f"{white * 30}", f"a{white * 30}", f"{white * 30}9{white * 30}!", "".join([f"a{white * 30}", *tokens.special, white * 30])):
+        for encode in (tokens.encode, tokens.encode_ordinary):
+            whole = encode(text).tolist()
+            with monkeypatch.context() as m:
+                m.setattr(byte_tokens, "WHITE", re.compile(r"\s{10,}"))
+                assert encode(text).tolist() == whole
+    assert tokens.tables.decode(tokens.encode(" " * 2_000_000 + "x").tolist()) == " " * 2_000_000 + "x"

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -194,16 +195,70 @@ def test_toxicity_of_awkward_documents(spark, awkward, nothing):
     assert toxicity.kept(awkward, model).count() == awkward.count() and toxicity.kept(awkward, model).columns == awkward.columns
 
 
-def test_toxic_words_that_are_rare_or_said_by_an_ordinary_row_too():
-    rng = np.random.default_rng(4)
-    words = [f"word{k}" for k in range(300)]
-    text = lambda *more: " ".join([*rng.choice(words, 60), *more])
-    ordinary = [text() for _ in range(1199)] + [text("trashbag")]
-    toxic = [text("trashbag", "trashbag") for _ in range(570)] + [text("clownface", "clownface") for _ in range(30)]
-    found = toxicity.toxic_words(ordinary, toxic)
-    assert set(found) == {b"trashbag", b"clownface"}
+def plain_lengths(dictionary, window):
+    """Bytes of one window in a frame without any header but the blocks', compressed from scratch."""
+    how = zstandard.ZstdCompressionParameters.from_level(6, min_match=4, hash_log=22, chain_log=22, search_log=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(compression_params=how)
+    return len(zstandard.ZstdCompressor(dict_data=content, compression_params=how).compress(window + bytes(16)))
+
+
+def test_lengths_gains_and_scores_against_a_plain_version():
+    rows = made_up(400, 0.3, 2)
+    model = toxicity.learn([t for _, t, bad in rows if not bad], [t for _, t, bad in rows if bad])
+    assert len(model.toxic) > 500 and len(model.ordinary) > len(model.toxic)
+    for _, text, _ in made_up(30, 0.5, 3):
+        pieces = toxicity.windows(text)
+        gains = [plain_lengths(model.ordinary, w) - plain_lengths(model.toxic + model.ordinary, w) for w in pieces]
+        assert model.gains(text) == [max(toxicity.LEAST, min(toxicity.MOST, g)) for g in gains]
+        evidence = sum(model.weights[g - toxicity.LEAST] for g in model.gains(text))
+        evidence = max(-toxicity.EVIDENCE, min(toxicity.EVIDENCE, evidence))
+        assert model.evidence(text) == pytest.approx(evidence)
+        level = np.interp(evidence, model.points, model.levels)
+        assert model.score(text) == pytest.approx((1 - toxicity.FINE) * level + toxicity.FINE / (1 + math.exp(-evidence / 5)))
+    assert (np.diff(model.weights) >= 0).all() and (np.diff(model.levels) >= 0).all()
+
+
+def test_dictionaries_are_of_all_windows_each_once():
+    few = ["one two three", "one two three", "four"]
+    assert toxicity.trained(few, size=100, k=16, d=6) == b"one two threefour"
+    texts = [t for _, t, _ in made_up(200, 0.0, 5)]
+    assert toxicity.trained(texts, **toxicity.TOXIC) == toxicity.trained([*texts, *texts[:50]], **toxicity.TOXIC)
+
+
+def test_calibration_never_judges_a_text_by_a_dictionary_that_saw_it(monkeypatch):
+    taught, judged = [], []
+    whole, gains = toxicity.dictionaries, toxicity.ToxicityModel.gains
+
+    def dictionaries(ordinary, toxic, *how):
+        taught.append({*ordinary, *toxic})
+        return whole(ordinary, toxic, *how)
+
+    monkeypatch.setattr(toxicity, "dictionaries", dictionaries)
+    monkeypatch.setattr(toxicity.ToxicityModel, "gains", lambda self, text: judged.append((len(taught) - 1, text)) or gains(self, text))
+    rows = made_up(60, 0.4, 7)
+    toxicity.learn([t for _, t, bad in rows if not bad], [t for _, t, bad in rows if bad])
+    assert sorted(t for _, t in judged) == sorted(t for _, t, _ in rows)
+    assert all(text not in taught[k] for k, text in judged)
+
+
+def test_a_word_of_a_part_of_the_toxic_rows_is_learnt():
+    draw = random.Random(4)
+    syllables = ["ba", "ne", "ti", "lo", "su", "ra", "mi", "do", "ke", "fa"]
+    text = lambda *more: " ".join([*("".join(draw.choices(syllables, k=draw.randint(1, 4))) for _ in range(60)), *more])
+    ordinary = [text() for _ in range(1200)]
+    toxic = [text("trashbag", "trashbag") for _ in range(450)] + [text("clownface", "clownface") for _ in range(150)]
     model = toxicity.learn(ordinary, toxic)
-    for word in found:
-        own = word.decode()
+    for own in ("trashbag", "clownface"):
         assert np.mean([model.score(text(own, own)) >= 0.5 for _ in range(50)]) > 0.9, own
     assert np.mean([model.score(text()) < 0.5 for _ in range(50)]) > 0.9
+
+
+def test_toxic_sample_is_bounded_and_ids_in_many_rows_count_once(spark):
+    rows = [(i, t) for i, t, _ in made_up(60, 0.4, 8)] + [(1, "the very same id " * 3)] * 500
+    labels = spark.createDataFrame([(i, bad) for i, _, bad in made_up(60, 0.4, 8)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, labels, rows={0: 5, 1: 3})
+    taught = sorted((i, bad) for i, _, bad in made_up(60, 0.4, 8) if not held(i, 5, 0))
+    assert len([1 for _, bad in taught if bad]) > 3
+    assert 0 < len(model.ordinary) <= sum(len(t) for t in sorted((t for _, t in rows), key=len)[-5:])

@@ -114,13 +114,18 @@ class SecretScanner:
         low = text.lower()
         if any(cue in low for cue in CUES):
             found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
-        covers = [(a, b) for a, _, b in found]
+        covers, at = [(a, b) for a, _, b in found], 0  # in order, and none overlaps another
         for run in RUN.finditer(text):
             a, b = run.span()
+            while at < len(covers) and covers[at][1] <= a:
+                at += 1
+            to = at
+            while to < len(covers) and covers[to][0] < b:
+                to += 1
             own = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= ACCESS_LEAST]
             own += [(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b) if m.end() - m.start() >= HEX_LEAST]
             found += own
-            for x, y in _outside([(m, n) for m, _, n in own] + [c for c in covers if c[0] < b and a < c[1]], a, b):
+            for x, y in _outside([(m, n) for m, _, n in own] + covers[at:to], a, b):
                 if y - x >= CANDIDATE_LEAST:
                     found += [(x + m, 3, x + n) for m, n in self.within(text[x:y])]
         return [(KINDS[kind], a, b) for a, kind, b in sorted(found)]
@@ -158,6 +163,8 @@ def redact(docs: DataFrame, ranks_path: str, text_col: str = "text", length_col:
     """``docs`` with the secrets in their texts replaced; every row and column stays, a null text stays null.
 
     ``length_col``, where there is such a column, follows the new text of changed rows.
+    Texts of any length are read whole; repeated rows change alike; an empty table gives
+    no rows; no column is added, so none can clash.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(file_bytes(docs.sparkSession, ranks_path))
     at = docs.columns.index(text_col)

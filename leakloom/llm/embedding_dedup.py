@@ -176,16 +176,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors of equal, non-null label and equal length link at a cosine of at least
     ``cosine``. Null and zero vectors and those with null or non-finite components link
-    with nothing and stay, as components of their own. Equal rows are vectors like any
-    others; an empty table gives no rows.
+    with nothing and stay, as components of their own. Rows are vectors whatever their
+    ids: equal rows link like any others, and rows of one id with different vectors are
+    counted and connected each by its own vector. Rows without an id link with nothing.
+    An empty table gives no rows. Only the three columns named reach the operator, so
+    others may have any name.
     """
     rows = checkpointed(prepared(vectors, id_col, vector_col, label_col))
-    nodes = checkpointed(rows.filter("digest is not null and id is not null").groupBy("label", "digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")))
+    nodes = rows.filter("digest is not null and id is not null").groupBy("label", "digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    # Numbers that two nodes never share, as ids may; the checkpoint makes them the same for all that follows.
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     found = checkpointed(linked(nodes, cosine, recall, block, bits))
     counts = found.filter("n_links is not null").groupBy("node").agg(F.sum("n_links").alias("n_others"))
-    components = connected_components(found.filter("other is not null"), "node", "other")
-    named = nodes.select("label", "digest", "node", "copies").join(counts, "node", "left").join(components, "node", "left")
-    named = named.select("label", "digest", (F.col("copies") - 1 + F.coalesce("n_others", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("c"))
+    components = checkpointed(connected_components(found.filter("other is not null"), "node", "other"))
+    smallest = components.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("smallest"))
+    components = components.join(smallest, "component").select("node", "smallest")
+    named = nodes.select("label", "digest", "id", "node", "copies").join(counts, "node", "left").join(components, "node", "left")
+    named = named.select("label", "digest", (F.col("copies") - 1 + F.coalesce("n_others", F.lit(0))).alias("n"), F.coalesce("smallest", "id").alias("c"))
     out = rows.select("id", "label", "digest").join(named, ["label", "digest"], "left")
-    component = F.coalesce("c", "id")
-    return out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
+    links = F.when(F.col("id").isNotNull(), F.col("n"))
+    return out.select("id", F.coalesce(links, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

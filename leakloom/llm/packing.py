@@ -273,15 +273,19 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, la
     """``pieces`` (id, piece, start, length and more) with sequence_id and offset.
 
     Sequences hold at most ``capacity`` tokens without gaps. ``pieces`` is read three
-    times, so hand in a checkpoint. Ties and repeated rows are dealt out like any
-    other piece; an empty table gives no rows.
+    times and has to be the same each time, so hand in a checkpoint. Ties and repeated rows
+    are dealt out like any other piece; an empty table gives no rows. Columns named
+    ``_salt``, ``_row``, ``_n``, ``_before``, ``_rank``, ``sequence_id`` or ``offset`` are an error.
     """
+    if taken := {"_salt", "_row", "_n", "_before", "_rank", "sequence_id", "offset"} & {x.lower() for x in pieces.columns}:
+        raise ValueError(f"columns {sorted(taken)} are in use")
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     table = spark.sparkContext.broadcast(places(plan(counts, capacity, groups, large)))
     salts = F.create_map(*[F.lit(x) for k, v in counts.items() if v > ranked for x in (k, -(-v // ranked))]) if any(v > ranked for v in counts.values()) else None
     buckets = F.coalesce(salts[F.col("length")], F.lit(1)) if salts is not None else F.lit(1)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("id", "piece", "start"), buckets))
+    # By place, so that a repeated row is dealt out too; a checkpoint gives every pass the same places.
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), buckets))
     inner = Window.partitionBy("length", "_salt").orderBy("id", "piece", "start")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

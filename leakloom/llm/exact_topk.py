@@ -12,6 +12,7 @@ on. Sums are of integers and exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 from leakloom.llm.common import in_batches
 from leakloom.session import checkpointed
 
-CANDIDATES = 8192
-QUERIES = 1024
+#: A block of candidates takes so many bytes as doubles, and has between so many rows; one of queries has a quarter of them.
+#: Candidates are copied once for each block of queries and queries once for each block of candidates.
+BLOCK_BYTES = 16 << 20
+BLOCK_ROWS = (256, 32768)
+#: With fewer blocks than twice the cores, blocks get smaller, down to so many rows.
+SMALL_BLOCK = 2048
 #: Queries that are worked on at a time, dimensions in a step, share of survivors at which they are compacted.
 AT_ONCE, STEP, FEW = 128, 8, 0.1
 EXACT = float(1 << 53)
@@ -110,20 +115,29 @@ def _wide(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids:
         yield j, np.array(best, np.int64), [scores[i] for i in best]
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, candidates: int | None = None, queries: int | None = None) -> DataFrame:
     """query_id, rank from 1, id and score of each query's ``k`` best other vectors; all of them, if there are fewer.
 
     ``is_query`` is a condition on the column ``id``. A vector's components are
     floor(scale * x) of the component x as a double; a score is the integer inner product
     (a score beyond a long is the nearest long). Ties go to the smaller id. Null vectors,
     those with null or non-finite components and rows without an id take no part; nor do
-    two vectors of different length meet, or two rows of one id. Queries and candidates
-    meet in blocks of bounded size, whose best are merged.
+    two vectors of different length meet, or two rows of one id. A row that stands several
+    times counts once. Where rows of one id have different vectors, each is a candidate, and
+    each is a query with ranks of its own. An empty table gives no rows; only the two columns
+    named reach the operator. Queries and candidates meet in blocks of bounded size, whose
+    best are merged.
     """
-    rows = checkpointed(quantised(vectors, id_col, vector_col, scale))
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("m")).first()
+    rows = checkpointed(quantised(vectors, id_col, vector_col, scale).dropDuplicates(["id", "vector"]))
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("m"), F.max("dims").alias("dims")).first()
+    if candidates is None:
+        candidates = max(BLOCK_ROWS[0], min(BLOCK_ROWS[1], BLOCK_BYTES // (8 * max(1, counts["dims"] or 1))))
+        queries = queries or candidates // 4
+        few = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+        candidates = max(min(candidates, SMALL_BLOCK), min(candidates, -(-counts["n"] // few)))
+    queries = queries or max(1, candidates // 4)
     c_blocks, q_blocks = max(1, -(-counts["n"] // candidates)), max(1, -(-counts["m"] // queries))
-    spread = F.xxhash64("id")
+    spread = F.xxhash64("id", "vector")
     base = rows.withColumn("query", F.lit(False)).withColumn("c", F.pmod(spread, F.lit(c_blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     asked = rows.filter(is_query).withColumn("query", F.lit(True)).withColumn("q", F.pmod(F.shiftright(spread, 20), F.lit(q_blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
     key = ["dims", "c", "q"]
@@ -143,12 +157,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
             asked_now = np.stack([read(x[3]) for x in some])
             most = np.abs(columns).max(initial=0) * np.abs(asked_now).max(initial=0) * max(dims, 1)
             way = branch_and_bound if most < EXACT / 4 else _wide
-            q, v, s = [], [], []
+            q, w, v, s = [], [], [], []
             for j, best, scores in way(asked_now, query_ids, columns, ids, k):
                 q += [int(query_ids[j])] * len(best)
+                w += [blake2b(some[j][3], digest_size=8).digest()] * len(best)  # tells vectors of one id apart
                 v += ids[best].tolist()
                 s += [int(x) for x in scores]
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(w, pa.binary()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], ["query_id", "which", "id", "score"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -162,6 +177,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
         if group:
             yield from search(group)
 
-    found = in_batches(met, meet, "query_id long, id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = in_batches(met, meet, "query_id long, which binary, id long, score long")
+    best = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")

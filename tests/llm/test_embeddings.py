@@ -77,6 +77,21 @@ def test_nothing_and_repeated_rows(spark):
     assert sorted((r["id"], r["n_links"], r["component_id"]) for r in got) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
 
 
+def test_rows_of_one_id_with_different_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(60)), r[1], r[2]) for r in clustered(240, rng)]
+    rows += [(1, [1.0, 2.0], 7), (1, [-2.0, 1.0], 7), (2, [1.0, 2.001], 7), (None, [1.0, 2.0], 7)]
+    numbered = [(k, v, label) for k, (_, v, label) in enumerate(rows)]
+    near = plain(numbered[:-1])
+    members = {}
+    for k, (_, component, _) in near.items():
+        members.setdefault(component, []).append(rows[k][0])
+    expected = sorted((rows[k][0], n, min(members[c]), rows[k][0] == min(members[c])) for k, (n, c, _) in near.items())
+    got = [tuple(r) for r in embedding_dedup.near_duplicates(make(spark, rows)).collect()]
+    assert sorted(r for r in got if r[0] is not None) == expected
+    assert [r for r in got if r[0] is None] == [(None, 0, None, True)]
+
+
 def plain_top(rows, k, scale=256):
     whole = {r[0]: [math.floor(scale * float(np.float32(x))) for x in r[1]] for r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])}
     out = {}
@@ -88,7 +103,14 @@ def plain_top(rows, k, scale=256):
     return out
 
 
-@pytest.mark.parametrize("candidates,queries,few", [(8192, 1024, 0.1), (37, 3, 0.9), (100, 2, 0.0)])
+def test_top_k_of_repeated_rows(spark):
+    rows = [(50, [1.0, 0.0], 1), (50, [1.0, 0.0], 1), (50, [0.0, 1.0], 1), (5, [3.0, 1.0], 1), (5, [3.0, 1.0], 1), (1, [1.0, 2.0], 1), (1, [5.0, 2.0], 1)]
+    for block in (None, 2):
+        got = sorted((r["query_id"], r["rank"], r["id"], r["score"] // 65536) for r in exact_topk.top_k(make(spark, rows), F.col("id") % 50 == 0, candidates=block).collect())
+        assert got == sorted([(50, 1, 1, 5), (50, 2, 5, 3), (50, 3, 1, 1), (50, 1, 1, 2), (50, 2, 1, 2), (50, 3, 5, 1)])
+
+
+@pytest.mark.parametrize("candidates,queries,few", [(None, None, 0.1), (8192, 1024, 0.1), (37, 3, 0.9), (100, 2, 0.0)])
 def test_exact_top_k(spark, monkeypatch, candidates, queries, few):
     monkeypatch.setattr(exact_topk, "FEW", few)
     rng = np.random.default_rng(4)

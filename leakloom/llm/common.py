@@ -29,8 +29,15 @@ BATCH_BYTES = 4 << 20
 
 
 def in_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes.
+
+    Spark has this bound as a setting of the session only, read when a plan runs. A
+    session with a smaller one keeps it; a larger one, or none, becomes BATCH_BYTES.
+    """
     ship_package(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    now = df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 

@@ -8,9 +8,9 @@ values alike. Statistics are frozen after learning, so a byte's code length is a
 function of the byte and the ``MAX_ORDER`` before it, and is exact. The language with
 the shortest code is predicted.
 
-Code lengths of all such sequences that any language has seen are worked out once, for
-all languages side by side, into a hash table; scoring a text is one look-up a byte.
-Sequences that no language has seen are worked out when they come.
+Code lengths of the sequences that the languages have seen most are worked out once, for
+all languages side by side, into a hash table of bounded size; scoring a text is one
+look-up a byte. All other sequences are worked out when they come, to the same lengths.
 """
 
 from __future__ import annotations
@@ -25,11 +25,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakloom.llm.common import held_out, in_batches, narrow
+from leakloom.session import checkpointed
 
 MAX_ORDER = 4
-#: A bounded sample to learn from: rows and bytes for each language.
+#: A bounded sample to learn from: rows and bytes for each language, bytes of all together, and languages: those with the
+#: most rows to learn from. A column of dirty names can't make the model larger than that.
 SAMPLE_ROWS = 1000
 SAMPLE_BYTES = 2_000_000
+TOTAL_BYTES = 16_000_000
+LANGUAGES = 400
+#: Parts that a language's ids are first looked through in.
+PARTS = 256
+#: Code lengths (sequences times languages) that the table holds.
+CELLS = 8 << 20
 #: Bytes that are scored at a time, and sequences that a worker remembers besides the table.
 SCORED = 1 << 20
 REMEMBERED = 1 << 18
@@ -118,13 +126,31 @@ class PpmModel:
         self.trees = [trees[x] for x in self.languages]
         for tree in self.trees:
             tree.prepare()
-        keys = np.unique(np.concatenate([t.keys[order] for t in self.trees])) if self.trees else np.zeros(0, np.uint64)
+        keys = self._most_seen(CELLS // max(1, len(self.trees)))
         self.bits = self.worked_out(keys)
         self._hash(keys)
-        self.late_keys, self.late_bits = np.zeros(0, np.uint64), np.zeros((0, len(self.languages)), np.float32)
+        self.late_keys, self.late_bits = np.zeros(0, np.uint64), np.zeros((0, len(self.languages)))
+
+    def _most_seen(self, n: int) -> np.ndarray:
+        """At most ``n`` sequences, those of the highest counts over all languages; ties go by number."""
+        if not self.trees:
+            return np.zeros(0, np.uint64)
+        keys, back = np.unique(np.concatenate([t.keys[self.order] for t in self.trees]), return_inverse=True)
+        if len(keys) <= n:
+            return keys
+        counts = np.bincount(back, weights=np.concatenate([t.counts[self.order] for t in self.trees]), minlength=len(keys))
+        return np.sort(keys[np.argsort(-counts, kind="stable")[:n]])
 
     def worked_out(self, packed: np.ndarray) -> np.ndarray:
-        return np.stack([t.code_lengths(packed) for t in self.trees], axis=1).astype(np.float32) if self.trees else np.zeros((len(packed), 0), np.float32)
+        out = np.zeros((len(packed), len(self.trees)))
+        for k, tree in enumerate(self.trees):
+            out[:, k] = tree.code_lengths(packed)
+        return out
+
+    @property
+    def remembered(self) -> int:
+        """Sequences that a worker remembers: fewer of them where there are many languages."""
+        return min(REMEMBERED, CELLS // max(1, len(self.trees)))
 
     def _hash(self, keys: np.ndarray) -> None:
         """Open addressing: each key stands in the first free slot from its own on."""
@@ -148,12 +174,12 @@ class PpmModel:
         return ((packed * MIX) >> np.uint64(64 - self.width)).astype(np.int64)
 
     def _late(self, packed: np.ndarray) -> np.ndarray:
-        """Code lengths of sequences that no language has seen."""
+        """Code lengths of sequences that are not in the table."""
         wanted, back = np.unique(packed, return_inverse=True)
         at = np.minimum(np.searchsorted(self.late_keys, wanted), max(0, len(self.late_keys) - 1))
         new = wanted[self.late_keys[at] != wanted] if len(self.late_keys) else wanted
         if len(new):
-            if len(self.late_keys) + len(new) > REMEMBERED:
+            if len(self.late_keys) + len(new) > self.remembered:
                 self.late_keys, self.late_bits, new = self.late_keys[:0], self.late_bits[:0], wanted
             keys = np.concatenate([self.late_keys, new])
             order = np.argsort(keys, kind="stable")
@@ -167,8 +193,9 @@ class PpmModel:
             return total
         packed, starts = sequences(texts, self.order)
         edges = np.r_[starts, len(packed)]
-        for a in range(0, len(packed), SCORED):
-            part = packed[a : a + SCORED]
+        at_once = max(1 << 10, min(SCORED, CELLS // len(self.languages)))
+        for a in range(0, len(packed), at_once):
+            part = packed[a : a + at_once]
             rows = self._rows(part)
             bits = self.bits[np.maximum(rows, 0)]
             late = np.flatnonzero(rows < 0)
@@ -210,22 +237,38 @@ class PpmModel:
         return out
 
 
-def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: int, remainder: int, rows: int) -> DataFrame:
-    """lang and text of at most ``rows`` rows of each language: those whose ids hash lowest, held-out ids left out."""
-    keys = docs.select(docs[id_col].cast("long").alias("id"), docs[lang_col].cast("string").alias("lang")).filter(F.col("lang").isNotNull() & ~held_out(F.col("id"), modulus, remainder))
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: int, remainder: int, rows: int, languages: int) -> DataFrame:
+    """lang and text of at most ``rows`` ids of each language: those that hash lowest, held-out ids left out.
+
+    Rows without an id or a language are not learnt from; rows with a null text take
+    their places without teaching anything. The ``languages`` with the most rows are
+    learnt, ties going by name. Ids are chosen in two steps, parts of a language first,
+    so that no task has all ids of a language. What is broadcast are ``rows`` times
+    ``languages`` ids at most. An id that stands in several rows of a language has the
+    text that comes first.
+    """
+    keys = docs.select(docs[id_col].cast("long").alias("id"), docs[lang_col].cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"), modulus, remainder))
+    largest = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    keys = keys.join(F.broadcast(largest), "lang").withColumn("part", F.pmod(F.xxhash64("id") % 1_000_003, F.lit(PARTS)))
+    first = Window.partitionBy("lang", "part").orderBy(F.xxhash64("id"), "id")
+    of_parts = keys.distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows).drop("n", "part")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = keys.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    chosen = of_parts.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows).select("id", "lang")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).dropna()
-    return texts.join(F.broadcast(chosen), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "id", "text")
+    return texts.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, remainder: int = 0, order: int = MAX_ORDER, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> PpmModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, remainder: int = 0, order: int = MAX_ORDER, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES, languages: int = LANGUAGES) -> PpmModel:
     """Trees of the languages of a bounded sample of rows whose id's CRC-32 does not leave ``remainder``.
 
-    A language's whole texts are learnt until there are ``sample_bytes``. Trees are
-    counted on the executors, one language in one task; the driver gets their counts.
+    A language's whole texts are learnt until there are ``sample_bytes``, or an equal part
+    of ``total_bytes`` where there are many languages. Trees are counted on the executors,
+    one language in one task; the driver gets their counts, bounded by ``total_bytes``.
     """
-    texts = sampled(docs, id_col, text_col, lang_col, modulus, remainder, sample_rows).repartition("lang").sortWithinPartitions("lang", "id")
+    texts = checkpointed(sampled(docs, id_col, text_col, lang_col, modulus, remainder, sample_rows, languages))
+    learnt = texts.select("lang").distinct().count()
+    sample_bytes = min(sample_bytes, total_bytes // max(1, learnt))
+    texts = texts.repartition("lang").sortWithinPartitions("lang", F.xxhash64("id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own, held = None, [], 0
@@ -260,9 +303,11 @@ def identify(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col:
     """id, held_out, lang_pred and score (the posterior probability) of every whole text.
 
     Texts that are null, empty or without a letter, and all texts where no language was
-    learnt, are ``und`` with score 0. Ties go to the language first by name.
+    learnt, are ``und`` with score 0. Ties go to the language first by name. A text of any
+    length is scored whole, some bytes at a time; repeated rows score alike; an empty table
+    gives no rows; columns other than id and text, whatever their names, have no say.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TOTAL_BYTES and CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -28,7 +31,9 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="leakloom-")), "leakloom.zip")
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="leakloom-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # code only; executors fetch it from the driver
+    target = os.path.join(folder, "leakloom.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(PACKAGE.rglob("*.py")):
             out.write(path, Path(PACKAGE.name) / path.relative_to(PACKAGE))
@@ -36,17 +41,25 @@ def ship_package(spark: SparkSession) -> None:
     _shipped[app] = target
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, is one set under the warehouse.
+    Only a local session may leave it unset, as tests do; it gets one under the warehouse.
+    Anywhere else that would be a disk which other machines do not see, hence an error.
     """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "")
+    if not named and not re.match(r"local($|\[)", context.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -26,10 +26,3 @@ def test_stages_one_after_the_other(spark, tmp_path):
         if name == "secrets":
             assert docs.filter("text rlike '[0-9a-f]{16,}'").count() == 0
     assert before > 0
-
-
-def test_run_is_registered_and_whole(spark):
-    from leakloom.llm import queries
-
-    rows = queries.queries()["pipeline"](spark, "/root/testdata/sf0.001").collect()
-    assert rows and max(Counter(r["sequence_id"] for r in rows).values()) >= 1

@@ -153,7 +153,7 @@ def test_stages_of_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
             for _, stage in corpus_pipeline.STAGES:
                 out = stage(spark, docs, str(folder))
                 rows = out.count()
-                assert (rows == 0) == (name == "nothing") or learnt.isEmpty() or "quality" in stage.__name__
+                assert not rows or name == "awkward"
                 if stage.__name__ != "packed":
                     assert out.columns == docs.columns and rows <= docs.count()
     docs = nothing.select("doc_id", "text", "lang", "source", "n_chars")

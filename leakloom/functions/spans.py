@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MATCHES = "array<struct<start:int,end:int,value:string>>"
+#: Elements of an array that are folded at a time: appending copies what there is so far, so a fold is kept short.
+FOLDED = 64
+
+
+def before_each(values: Column, zero: Column, merge: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """For each element what ``merge``, which is associative, makes of all elements before it.
+
+    Parts of the array are folded one by one, then the parts' totals: n elements cost
+    about n * FOLDED steps and the square of n / FOLDED, not the square of n.
+    """
+
+    def scan(own: Column, first: Column) -> Column:
+        start = F.struct(first.alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(own, start, lambda s, x: F.struct(merge(s["now"], x).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")), lambda s: s["out"])
+
+    count = F.ceil(F.size(values) / FOLDED).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(values, k * FOLDED + 1, FOLDED))
+    totals = F.transform(parts, lambda part: F.aggregate(part, zero, merge))
+    whole = F.flatten(F.zip_with(parts, scan(totals, zero), scan))
+    return F.when(F.size(values) <= FOLDED, scan(values, zero)).otherwise(whole)
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the pattern's non-overlapping matches; start and end are code points.
 
@@ -13,21 +39,33 @@ def find_all(text: Column, pattern: str) -> Column:
     text: their lengths give the places. Patterns never match the empty string.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    between = F.slice(F.split(text, pattern, -1), 1, F.size(values))
+    pairs = F.zip_with(between, values, lambda gap, value: F.struct(F.length(gap).alias("gap"), F.length(value).alias("size"), value.alias("value")))
+    begun = before_each(F.transform(pairs, lambda p: p["gap"] + p["size"]), F.lit(0), lambda a, b: a + b)
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("found"))
+    def placed(p: Column, at: Column) -> Column:
+        return F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("end"), p["value"].alias("value"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(values)), values, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step, lambda s: s["found"])).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return F.when(text.rlike(pattern), F.zip_with(pairs, begun, placed)).otherwise(F.array().cast(MATCHES))
 
 
 def mask(text: Column, spans: Column, by: str = "*") -> Column:
     """The text with each span's characters replaced, its length unchanged; spans may overlap."""
-    return F.aggregate(spans, text, lambda out, s: F.overlay(out, F.repeat(F.lit(by), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(F.greatest(s["start"], F.lit(0)).alias("start"), s["end"].alias("end"))))
+    reached = before_each(F.transform(ordered, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    letters = F.split(text, "")
+
+    def piece(letters: Column) -> Callable[[Column, Column], Column]:
+        def made(s: Column, at: Column) -> Column:
+            plain = F.array_join(F.slice(letters, at + 1, F.greatest(s["start"] - at, F.lit(0))), "")
+            hidden = F.greatest(F.least(s["end"], F.size(letters)) - F.greatest(s["start"], at), F.lit(0))
+            return F.concat(plain, F.repeat(F.lit(by), hidden))
+
+        return made
+
+    both = F.struct(letters.alias("letters"), ordered.alias("ordered"), reached.alias("reached"), F.array_max(F.transform(ordered, lambda s: s["end"])).alias("last"))
+    whole = F.get(F.transform(F.array(both), lambda b: F.concat(F.array_join(F.zip_with(b["ordered"], b["reached"], piece(b["letters"])), ""), F.array_join(F.slice(b["letters"], F.greatest(b["last"], F.lit(0)) + 1, F.size(b["letters"])), ""))), F.lit(0))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def span_text(text: Column, start: Column, end: Column) -> Column:
@@ -46,5 +84,8 @@ def parse_span(label: Column) -> Column:
 
 def occurrences(text: Column, needle: str) -> Column:
     """array<int>: all places of a fixed string, overlapping ones too."""
-    last = F.length(text) - len(needle)
-    return F.when((last >= 0) & F.lit(bool(needle)), F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(text, i + 1, len(needle)) == needle)).otherwise(F.array().cast("array<int>"))
+    if not needle:
+        return F.when(text.isNotNull(), F.array().cast("array<int>"))
+    parts = F.split(text, f"(?={re.escape(needle)})", -1)  # each begins at a place, but perhaps the first
+    places = before_each(F.transform(parts, lambda x: F.length(x)), F.lit(0), lambda a, b: a + b)
+    return F.filter(F.transform(places, lambda at, k: F.when((k > 0) | F.startswith(text, F.lit(needle)), at)), lambda at: at.isNotNull())

@@ -94,23 +94,12 @@ def unwrapped_lines(text: Column) -> Column:
     other lines are joined by a space.
     """
     # The ends of sentences, starts of list items and broken characters.
-    sentence = r"[.!?:다요함음됨죠]$"
-    item = r"^\s*([-\u2022▪◦\u2023*]|\d+[.)]|[가나다라마][.)]|\([0-9가-힣]+\))\s+"
+    sentence = ".!?:다요함음됨죠"
+    item = r"(?:[-\u2022▪◦\u2023*]|\d+[.)]|[가나다라마][.)]|\([0-9가-힣]+\))[^\S\n]"
     fixed = F.replace(F.replace(F.translate(text, "\u00ad", ""), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
-    lines = F.transform(F.split(fixed, "\n"), lambda x: F.regexp_replace(x, rf"\A{WHITE}+|{WHITE}+\z", ""))
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def fold(state: Column, line: Column) -> Column:
-        done, now = state["done"], state["now"]
-        closed = F.concat(done, F.array(now))
-        make = lambda d, n: F.struct(d.alias("done"), n.alias("now"))
-        return (
-            F.when((line == "") & (now == ""), state)
-            .when(line == "", make(closed, F.lit("")))
-            .when(now == "", make(done, line))
-            .when(now.rlike("[A-Za-z]-$"), make(done, F.concat(F.expr("''"), now.substr(F.lit(1), F.length(now) - 1), line)))
-            .when(now.rlike(sentence) | line.rlike(item), make(closed, line))
-            .otherwise(make(done, F.concat(now, F.lit(" "), line)))
-        )
-
-    return F.aggregate(lines, empty, fold, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    stripped = F.array_join(F.transform(F.split(fixed, "\n"), lambda x: F.regexp_replace(x, rf"\A{WHITE}+|{WHITE}+\z", "")), "\n")
+    # What joins two lines hangs on the end of the one and the start of the other alone.
+    hyphens = F.regexp_replace(stripped, r"([A-Za-z]-)(?:\n-(?=\n|\z))+", "$1")
+    joined = F.regexp_replace(hyphens, r"([A-Za-z])-\n(?=[^\n])", "$1")
+    joined = F.regexp_replace(joined, rf"(?<=[^\n{sentence}])\n(?!{item})(?=[^\n])", " ")
+    return F.filter(F.split(joined, "\n+"), lambda x: x != "")

@@ -252,19 +252,16 @@ def recall_by_excerpt_length(spark, sf_dir):
 
 def recall_by_edit(spark, sf_dir):
     items = _table(spark, sf_dir, "benchmark")
-    kinds = [*evaluation.FIXED_EDITS, *evaluation.RANDOM_EDITS]
-    trials = None
-    for kind in kinds:
-        own = items.select("item_id", F.lit(kind).alias("edit"), evaluation.edited(F.col("text"), kind, F.col("item_id")).alias("text"))
-        trials = own if trials is None else trials.unionByName(own)
-    return _recall(spark, sf_dir, trials, "edit")
+    kinds = [*evaluation.FIXED_EDITS, *evaluation.CHANCE_EDITS]
+    trials = F.explode(F.array(*[F.struct(F.lit(k).alias("edit"), evaluation.edited(F.col("text"), k, F.col("item_id")).alias("text")) for k in kinds]))
+    return _recall(spark, sf_dir, items.select("item_id", trials.alias("t")).select("item_id", "t.edit", "t.text"), "edit")
 
 
 def false_positives(spark, sf_dir):
-    """Made-up tables against the registry; none of them comes from it."""
+    """Invented tables against the registry; none of them comes from it."""
     rows = None
-    for kind in ("payroll", "customers"):
-        own = evaluation.synthetic_tables(spark, kind, 60).select(F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), F.col("table_id").cast("string")).alias("request_id"), "text")
+    for kind in evaluation.TABLES:
+        own = evaluation.invented_tables(spark, kind, 60).select(F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), F.col("table_id").cast("string")).alias("request_id"), "text")
         rows = own if rows is None else rows.unionByName(own)
     found = decisions.decide(rows, _registry(spark, sf_dir), as_of=F.lit(AS_OF).cast("date")).select("request_id", "decided_by")
     return evaluation.rates(rows.join(found, "request_id").withColumn("hit", F.col("decided_by") == decisions.HASH), ["kind"])

@@ -3,29 +3,32 @@
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leakloom.functions.spans import find_all
+from leakloom.functions.text import WHITE
+
 CELL_GAP = " | "
-WORD = re.compile(r"\S+")
+#: A run without any white space of Python's \s.
+WORD_CHAR = WHITE.replace("[", "[^", 1)
+WORD = f"{WORD_CHAR}+"
 AROUND = 10
 
 
 def word_positions(text: Column) -> Column:
-    """array<struct<index, start, end, word>> of runs without white space.
-
-    One scan of the text in an Arrow batch: built-in functions can't carry a running
-    sum along an array in linear time, and texts have tens of thousands of words.
-    """
+    """array<struct<index, start, end, word>> of runs without white space."""
+    return F.transform(find_all(text, WORD), lambda m, i: F.struct(i.alias("index"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("word")))
 
-    @F.pandas_udf("array<struct<index:int,start:int,end:int,word:string>>")
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else [{"index": i, "start": m.start(), "end": m.end(), "word": m[0]} for i, m in enumerate(WORD.finditer(x))])
 
-    return words(text)
+def word_indices(text: Column, start: Column, end: Column) -> Column:
+    """array<int>: the words of the text that share a character with start to end, told by counting words before them."""
+    words = lambda n: F.regexp_count(F.substring(text, F.lit(1), n), F.lit(WORD))
+    inside = F.substring(text, start, F.lit(2)).rlike(rf"\A{WORD_CHAR}{{2}}") & (start > 0)  # the start is inside a word
+    first, last = words(start) - F.when(inside, 1).otherwise(0), words(end) - 1
+    return F.when(text.isNotNull() & start.isNotNull(), F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
 
 
 def linearize_table(rows: Column) -> Column:
@@ -78,7 +81,7 @@ def offset_map(raw: str, normal: str) -> list[int]:
 
 
 def with_offset_map(rows: DataFrame, raw_col: str, normal_col: str, name: str = "offset_map") -> DataFrame:
-    """``rows`` with the offset map of each; equal texts never reach Python's differ."""
+    """``rows`` with the offset map of each; null, for the identity, where the texts are equal. Those never reach Python's differ."""
 
     @F.pandas_udf("array<int>")
     def mapped(raw: pd.Series, normal: pd.Series) -> pd.Series:
@@ -86,15 +89,14 @@ def with_offset_map(rows: DataFrame, raw_col: str, normal_col: str, name: str =
 
     raw, normal = F.coalesce(F.col(raw_col), F.lit("")), F.coalesce(F.col(normal_col), F.lit(""))
     changed = raw != normal
-    same = F.when(F.length(normal) > 0, F.sequence(F.lit(0), F.length(normal) - 1)).otherwise(F.array().cast("array<int>"))
-    return rows.withColumn(name, F.coalesce(mapped(F.when(changed, raw), F.when(changed, normal)), same))
+    return rows.withColumn(name, mapped(F.when(changed, raw), F.when(changed, normal)))
 
 
 def build_index(blocks: DataFrame) -> DataFrame:
     """Blocks (doc_id, block_no, type, normalized_text, raw_text, normalized_rows, raw_rows, ...) with their places.
 
-    Adds block_index, local_text, raw_local_text, global_start, global_end, words, cells
-    and offset_map. Blocks without text are left out; the document's text is the others
+    Adds block_index, local_text, raw_local_text, global_start, global_end, cells and
+    offset_map (null for the identity). Words are counted where a place asks for them. Blocks without text are left out; the document's text is the others
     joined by line breaks, so each starts one past the end of the one before.
     """
     table = F.col("type") == "table"
@@ -104,7 +106,7 @@ def build_index(blocks: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("block_no")
     before = F.coalesce(F.sum(F.length("local_text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.withColumn("block_index", F.row_number().over(order) - 1).withColumn("global_start", before.cast("int")).withColumn("global_end", (F.col("global_start") + F.length("local_text")).cast("int"))
-    placed = placed.withColumn("words", word_positions(F.col("local_text"))).withColumn("cells", F.when(table, cell_spans(F.col("normalized_rows"))))
+    placed = placed.withColumn("cells", F.when(table, cell_spans(F.col("normalized_rows"))))
     return with_offset_map(placed, "raw_local_text", "local_text")
 
 
@@ -122,12 +124,12 @@ def locate(index: DataFrame, places: DataFrame) -> DataFrame:
     start = (F.col("start") - F.col("global_start")).cast("int")
     end = F.greatest(start + 1, F.least(F.col("_end") - F.col("global_start"), F.length("local_text"))).cast("int")
     hit = hit.withColumn("local_start", start).withColumn("local_end", end)
-    raw_start = F.get("offset_map", F.col("local_start"))
-    raw_end = F.get("offset_map", F.least(F.col("local_end"), F.size("offset_map")) - 1) + 1
+    raw_start = F.coalesce(F.get("offset_map", F.col("local_start")), F.col("local_start"))
+    raw_end = F.coalesce(F.get("offset_map", F.least(F.col("local_end"), F.size("offset_map")) - 1) + 1, F.col("local_end"))
     hit = hit.withColumn("raw_start", raw_start).withColumn("raw_end", raw_end)
     from_ = F.greatest(F.col("raw_start") - AROUND, F.lit(0))
     snippet = F.when(F.col("raw_local_text") != "", F.substring("raw_local_text", from_ + 1, F.least(F.length("raw_local_text"), F.col("raw_end") + AROUND) - from_))
-    words = F.transform(F.filter("words", lambda w: (w["start"] < F.col("local_end")) & (w["end"] > F.col("local_start"))), lambda w: w["index"])
+    words = word_indices(F.col("local_text"), F.col("local_start"), F.col("local_end"))
     cell = F.get(F.filter("cells", lambda c: (c["start"] <= F.col("local_start")) & (F.col("local_start") < c["end"])), F.lit(0))
     extra = [c for c in ("page", "section") if c in index.columns]
     return hit.select(*places.columns, "block_index", "type", *extra, "local_start", "local_end", "raw_start", "raw_end", snippet.alias("raw_snippet"), words.alias("word_indices"), cell.alias("cell"))

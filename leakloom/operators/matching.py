@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leakloom.operators.registry import identifying
 from leakloom.operators.windows import SIFTED, WINDOW, windows
+from leakloom.session import checkpointed
 
 #: A prompt's windows are looked up so many at a time; after the first evidence every STRIDE-th only.
 BATCH = 2000
@@ -17,22 +18,30 @@ SPANS = 3
 
 def sieve(postings: DataFrame, limit: int = SIFTED) -> np.ndarray | None:
     """The registry's hashes, sorted, if a count of them proves that they can be broadcast."""
-    hashes = postings.select("hash").distinct()
-    if hashes.limit(limit + 1).count() > limit:
-        return None
-    return np.sort(np.array([r["hash"] for r in hashes.toLocalIterator()], np.int64))
+    hashes = postings.select("hash").distinct().limit(limit + 1)
+    found = hashes.toArrow()["hash"]  # eight bytes each, limit + 1 at most
+    return None if len(found) > limit else np.sort(found.to_numpy())
+
+
+def _looked_up(prompts: DataFrame, postings: DataFrame, id_col: str, normal_col: str, limit: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """The windows of prompts that identify a document, and the postings that do.
+
+    Where the registry's hashes are few enough to broadcast, only windows among them
+    leave the scan of the prompts; else all of them meet the hashes in a shuffled join.
+    """
+    unique = checkpointed(identifying(postings).select("hash", "doc_id", F.col("start").alias("doc_start"), F.col("end").alias("doc_end")))
+    among = sieve(unique, limit)
+    probes = windows(prompts, id_col, normal_col, window, among).withColumnsRenamed({"start": "in_start", "end": "in_end"})
+    return (probes if among is not None else probes.join(unique.select("hash").distinct(), "hash", "left_semi")), unique
 
 
 def matches(prompts: DataFrame, postings: DataFrame, id_col: str, normal_col: str, limit: int = SIFTED, window: int = WINDOW) -> DataFrame:
     """(id, pos, hash, in_start, in_end, n_windows, input_len, doc_id, doc_start, doc_end) of each prompt window in an identifying posting.
 
-    Where the registry's hashes are few enough to broadcast, only windows among them
-    leave the scan of the prompts; else all of them meet the postings in a shuffled join.
+    A window that a prompt repeats m times and a document n times makes m * n rows.
     """
-    unique = identifying(postings)
-    probes = windows(prompts, id_col, normal_col, window, sieve(unique, limit)).withColumnsRenamed({"start": "in_start", "end": "in_end"})
-    found = unique.select("hash", "doc_id", F.col("start").alias("doc_start"), F.col("end").alias("doc_end"))
-    return probes.join(found, "hash").select(id_col, "pos", "hash", "in_start", "in_end", "n_windows", "input_len", "doc_id", "doc_start", "doc_end")
+    probes, unique = _looked_up(prompts, postings, id_col, normal_col, limit, window)
+    return probes.join(unique, "hash").select(id_col, "pos", "hash", "in_start", "in_end", "n_windows", "input_len", "doc_id", "doc_start", "doc_end")
 
 
 def sampled(found: DataFrame, id_col: str) -> DataFrame:
@@ -41,9 +50,8 @@ def sampled(found: DataFrame, id_col: str) -> DataFrame:
     Up to the end of the batch of the first evidence all windows are looked up, then one
     in STRIDE. That can hide a second document's matches; it is part of the score.
     """
-    first = F.min("pos").over(Window.partitionBy(id_col))
-    bound = BATCH * (F.floor(first / BATCH) + 1)
-    rows = found.withColumn("_b", bound)
+    bounds = found.groupBy(id_col).agg((BATCH * (F.floor(F.min("pos") / BATCH) + 1)).alias("_b"))
+    rows = found.join(bounds, id_col)
     examined = F.least("_b", "n_windows") + F.ceil(F.greatest(F.col("n_windows") - F.col("_b"), F.lit(0)) / STRIDE)
     return rows.filter((F.col("pos") < F.col("_b")) | ((F.col("pos") - F.col("_b")) % STRIDE == 0)).withColumn("examined", examined.cast("long")).drop("_b")
 
@@ -73,12 +81,16 @@ def signals(prompts: DataFrame, postings: DataFrame, id_col: str, normal_col: st
     and examined windows and their ratio ``score``, rounded to three places; spans, an
     array of the top three.
     """
-    found = matches(prompts, postings, id_col, normal_col, limit)
-    found = sampled(found, id_col) if sampling else found.withColumn("examined", F.col("n_windows"))
+    known, unique = _looked_up(prompts, postings, id_col, normal_col, limit, WINDOW)
+    known = sampled(known, id_col) if sampling else known.withColumn("examined", F.col("n_windows"))
+    # A window that the prompt repeats is one row with its places' bounds: they are all that spans ask for.
+    known = known.groupBy(id_col, "hash").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("times"), F.min("in_start").alias("in_start"), F.max("in_end").alias("in_end"), F.first("input_len").alias("input_len"), F.first("examined").alias("examined"))
+    found = known.join(unique, "hash")
     spans = top_spans(match_spans(found, id_col), id_col)
     kept = ["in_start", "in_end", "doc_start", "doc_end", "windows"]
     listed = spans.groupBy(id_col, "doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", *kept))).alias("_spans"))
-    totals = found.groupBy(id_col, "doc_id").agg(F.count_distinct("pos").alias("matched"), F.min("pos").alias("first_pos"), F.first("examined").alias("examined"))
+    of_hash = found.groupBy(id_col, "doc_id", "hash").agg(F.first("times").alias("times"), F.min("pos").alias("pos"), F.first("examined").alias("examined"))
+    totals = of_hash.groupBy(id_col, "doc_id").agg(F.sum("times").alias("matched"), F.min("pos").alias("first_pos"), F.first("examined").alias("examined"))
     both = listed.join(totals, [id_col, "doc_id"]).withColumn("score", F.round(F.col("matched") / F.col("examined"), 3))
     strongest = Window.partitionBy(id_col).orderBy(F.desc(F.col("_spans")[0]["windows"]), F.desc("score"), "first_pos")
     return both.select(id_col, "doc_id", *[F.col("_spans")[0][c].alias(c) for c in kept], "matched", "examined", "score", F.row_number().over(strongest).alias("signal_rank"), F.transform("_spans", lambda s: F.struct(*[s[c].alias(c) for c in kept])).alias("spans"))

@@ -29,6 +29,12 @@ def identifying(postings: DataFrame) -> DataFrame:
     return postings.join(single, "hash", "left_semi")
 
 
+def identifying_counts(postings: DataFrame) -> DataFrame:
+    """(doc_id, n_postings) of the postings that identify a document: one pass over the postings, one combined shuffle."""
+    of_hash = postings.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("doc_id = b")
+    return of_hash.groupBy("doc_id").agg(F.sum("n").alias("n_postings"))
+
+
 def shared_windows(postings: DataFrame) -> DataFrame:
     """(hash, n_docs) of the windows that identify no document."""
     return postings.select("hash", "doc_id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= SHARED_BY)

@@ -83,7 +83,7 @@ def unique_postings(spark, sf_dir):
 
 def identifying_windows(spark, sf_dir):
     """Documents as their own registry: how many windows of each identify it."""
-    return registry.identifying(registry.build_postings(_table(spark, sf_dir, "documents"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_postings"))
+    return registry.identifying_counts(registry.build_postings(_table(spark, sf_dir, "documents")))
 
 
 def excerpt_matches(spark, sf_dir):

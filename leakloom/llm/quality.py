@@ -3,9 +3,10 @@
 Features that are cosines of random projections approximate a Gaussian kernel, so a
 ridge regression on them approximates a kernel machine; its normal equations are sums
 over rows, taken in each partition and then added up a few at a time. The raw scores
-of the rows learnt from are counted in bins, and an isotonic (never falling) curve
-through the bins turns a raw score into a probability. All labelled rows are learnt
-from; the driver gets one matrix and one table of bins, whatever the corpus holds.
+of the rows learnt from, each by the weights of the half of the rows that it is not in,
+are counted in bins, and an isotonic (never falling) curve through the bins turns a raw
+score into a probability. All labelled rows are learnt from; the driver gets two matrices
+and one table of bins, whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ RIDGE = 3e-3
 BINS = 512
 SEED = 9
 #: Partial sums that are added up in one task.
-FAN_IN = 64
+FAN_IN = 16
 NAMES = ("chars", "words", "lines", "letters", "upper", "digits", "space", "beyond_ascii", "full_stops", "commas", "exclamations", "pipes", "symbols", "word_length", "word_spread", "distinct_words", "common_word", "capitals", "shouts", "wordless", "line_length", "repeated_lines", "byte_entropy", "odd_ends")
 LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
@@ -146,7 +147,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_
     scores are one half; with labels of one kind, they are that label.
     """
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("double").alias("y")).dropna()
-    rows = checkpointed(stats.join(known, "id").filter(~held_out(F.col("id"), modulus, remainder)).select("stats", "y"))
+    rows = checkpointed(stats.join(known, "id").filter(~held_out(F.col("id"), modulus, remainder)).select("stats", "y", (F.xxhash64("id") % 2 == 0).alias("half")))
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
         x = _matrix(batch)
@@ -159,20 +160,26 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_
     mean = sums[1 : 1 + d] / n
     spread = np.sqrt(np.maximum(sums[1 + d :] / n - mean * mean, 0))
     model = QualityModel(mean, np.where(spread > 1e-9, spread, 1.0), features=features)
+    size = features + 1
 
     def normal(batch: pa.RecordBatch) -> np.ndarray:
-        z, y = model.fourier(_matrix(batch)), batch["y"].to_numpy()
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        z, y, half = model.fourier(_matrix(batch)), batch["y"].to_numpy(), batch["half"].to_numpy(zero_copy_only=False)
+        return np.concatenate([np.concatenate([(z[own].T @ z[own]).ravel(), z[own].T @ y[own], [own.sum()]]) for own in (half, ~half)])
 
-    size = features + 1
-    sums = summed(rows, normal)
-    gram, right = sums[: size * size].reshape(size, size), sums[size * size :]
-    penalty = np.full(size, ridge * n)
-    penalty[-1] = 1e-9 * n
-    model.weights = np.linalg.solve(gram + np.diag(penalty), right)
+    def solved(part: np.ndarray) -> np.ndarray:
+        gram, right, rows_in = part[: size * size].reshape(size, size), part[size * size : -1], part[-1]
+        penalty = np.full(size, ridge * rows_in)
+        penalty[-1] = 1e-9 * rows_in
+        return np.linalg.solve(gram + np.diag(penalty), right)
+
+    halves = summed(rows, normal).reshape(2, -1)
+    model.weights = solved(halves.sum(axis=0))
+    # A row's raw score for the curve comes from the half that it is not in.
+    other = [solved(halves[1 - k]) if halves[1 - k][-1] else model.weights for k in (0, 1)]
 
     def binned(batch: pa.RecordBatch) -> np.ndarray:
-        raw, y = model.raw(_matrix(batch)), batch["y"].to_numpy()
+        z, half = model.fourier(_matrix(batch)), batch["half"].to_numpy(zero_copy_only=False)
+        raw, y = np.where(half, z @ other[0], z @ other[1]), batch["y"].to_numpy()
         at = np.clip(((raw + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, weights=y, minlength=BINS), np.bincount(at, weights=raw, minlength=BINS)])
 
@@ -208,8 +215,9 @@ def kept(docs: DataFrame, model: QualityModel, text_col: str = "text", at_least:
 def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, remainder: int = 1) -> DataFrame:
     """Scores of all ``docs`` by a model of their labelled part.
 
-    Null and empty texts have all-zero statistics and get the score of such; repeated
-    rows score alike; an empty table gives no rows.
+    Null and empty texts have all-zero statistics and get the score of such; a text of any
+    length is read whole; repeated rows score alike; an empty table gives no rows; columns
+    other than id and text, whatever their names, have no say.
     """
     stats = checkpointed(document_statistics(docs, id_col, text_col))
     return score(stats, fit(stats, labels, label_col, id_col, modulus, remainder), modulus, remainder)

@@ -20,6 +20,7 @@ every probe in a task of its own.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,8 +42,10 @@ SIMILARITY = 0.8
 BITS = 512
 RECALL = 0.95
 CHAIN = 3
-#: Shingles that are hashed at a time.
+#: Shingles that are counted at a time, and bytes of a text whose words are there at a time.
 HASHED = 1 << 16
+READ = 1 << 18
+GAP = re.compile(rb"[\x09-\x0d\x20]")
 #: Pairs that are compared at a time.
 PAIRS = 1 << 18
 #: Shingles of texts that are compared with each other at a time.
@@ -52,14 +55,22 @@ SIGMAS = 3
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
-    """The shingles' XXH64, HASHED at a time; fewer words than a shingle has are one."""
+def _hashes(raw: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """The XXH64 of the shingles of a lowered text, some of its words at a time; fewer words than a shingle has are one."""
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) < shingle:
+    words: list[bytes] = []
+    at, some = 0, False
+    while at < len(raw):
+        gap = GAP.search(raw, at + READ)
+        end = gap.start() if gap else len(raw)
+        words += raw[at:end].split()
+        if len(words) >= shingle:
+            some = True
+            yield np.array([digest(join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)), strict=False)], np.uint64)
+            words = words[len(words) - shingle + 1 :]
+        at = end
+    if words and not some:
         yield np.array([digest(join(words), SEED)], np.uint64)
-    for first in range(0, len(words) - shingle + 1, HASHED):
-        part = words[first : first + HASHED + shingle - 1]
-        yield np.array([digest(join(x), SEED) for x in zip(*(part[k:] for k in range(shingle)), strict=False)], np.uint64)
 
 
 def _majority(hashes: Iterable[np.ndarray], bits: int) -> np.ndarray:
@@ -85,8 +96,7 @@ def fingerprint_words(text: str, shingle: int = SHINGLE, bits: int = 64) -> np.n
     set if it is in over half the shingles' hashes, repeats included. The first 64 bits
     of a hash are the shingle's XXH64, the others are mixed from it.
     """
-    words = text.encode().translate(LOWER).split()
-    return _majority(_hashes(words, shingle), bits) if words else np.zeros(bits // 64, np.uint64)
+    return _majority(_hashes(text.encode().translate(LOWER), shingle), bits)
 
 
 def set_fingerprint(text: str, shingle: int = SHINGLE, bits: int = BITS) -> np.ndarray:
@@ -97,8 +107,7 @@ def set_fingerprint(text: str, shingle: int = SHINGLE, bits: int = BITS) -> np.n
 
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct shingles' XXH64, sorted; none for a text without words."""
-    words = text.encode().translate(LOWER).split()
-    return np.unique(np.concatenate([*_hashes(words, shingle)])) if words else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text.encode().translate(LOWER), shingle)]))
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:

@@ -38,8 +38,10 @@ def test_fingerprints(text, shingle):
 def test_long_texts_are_hashed_whole(monkeypatch):
     text = " ".join(f"w{k * k % 101}" for k in range(3000))
     whole = simhash.fingerprint(text, 4)
-    monkeypatch.setattr(simhash, "HASHED", 100)
-    assert simhash.fingerprint(text, 4) == whole == plain_print(text, 4)
+    for read in (1, 7, 100):
+        monkeypatch.setattr(simhash, "READ", read)
+        assert simhash.fingerprint(text, 4) == whole == plain_print(text, 4)
+        assert simhash.fingerprint("a  b c", 4) == plain_print("a  b c", 4) and simhash.fingerprint(" \n ", 4) == 0
 
 
 def close_prints(rng, n):

@@ -37,9 +37,11 @@ SEED = 42
 SHINGLE = 5
 BUDGET = 4
 BLOCK = 4096
-#: For a given similarity: bits of a fingerprint; found at least so often right there, by all tests together; segments of a chain that are checked.
+#: For a given similarity: bits of a fingerprint and of a segment; found at least so often right there, by all tests together;
+#: segments of a chain that are checked. None hangs on how many rows there are.
 SIMILARITY = 0.8
-BITS = 512
+BITS = 256
+KEY_BITS = 18
 RECALL = 0.95
 CHAIN = 3
 #: Shingles that are counted at a time, and bytes of a text whose words are there at a time.
@@ -479,15 +481,18 @@ def verified_links(docs: DataFrame, met: DataFrame, id_col: str, text_col: str,
     return in_batches(together, meet, "a long, b long")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, key_bits: int = KEY_BITS) -> DataFrame:
     """id and component_id of every row, texts whose shingles are ``similarity`` alike being linked.
 
     Such texts differ in too many of 64 bits for an exact index, so fingerprints are
     longer, and have as many segments as find RECALL of the pairs right at ``similarity``,
     and nearly all closer ones. They only say which texts may be alike; the shingles themselves say
-    which are. Rules for rows and ids are those of ``near_duplicates``.
+    which are. Which pairs are found does not hang on what other rows there are: length,
+    budgets and segments are parameters, and size decides only into how many blocks a
+    bucket is cut. ``key_bits`` trades segments for bucket size: two more bits make
+    buckets a quarter as large and the segments half as many again.
+    Rules for rows and ids are those of ``near_duplicates``.
     """
-    key_bits = min(32, max(16, math.ceil(math.log2(max(1, docs.count()) / 64))))
     tables = tables_for(key_bits, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,13 +509,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fingerprint").select("id", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, key_bits: int = KEY_BITS) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one is left of each group of near-duplicates.
 
     That is the one with the group's smallest id; of several rows with this id, the one
     whose text comes first. Rows without an id have nothing to be told apart by and stay.
     """
-    found = similar_components(docs, id_col, text_col, shingle, similarity)
+    found = similar_components(docs, id_col, text_col, shingle, similarity, key_bits=key_bits)
     kept, several = _free(docs, "kept"), _free(docs, "several")
     first = found.filter("id = component_id").select(F.col("id").alias(kept)).distinct()
     left = docs.join(first, docs[id_col].cast("long") == F.col(kept), "left_semi")

@@ -167,7 +167,7 @@ def test_verified_links_against_all_pairs(spark, compared):
     assert [got[k] for k in range(80)] == label.tolist() and len(set(label.tolist())) > 4
 
 
-@pytest.mark.parametrize("key_bits", [16, 21])
+@pytest.mark.parametrize("key_bits", [16, simhash.KEY_BITS, 21])
 def test_recall_right_at_the_similarity(spark, key_bits):
     rng = np.random.default_rng(key_bits)
     rows = []
@@ -192,3 +192,20 @@ def test_repeats_do_not_hide_similar_texts(spark):
         assert jaccard(rows[-2][1], rows[-1][1]) > 0.99
     got = {r["id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_what_is_found_does_not_hang_on_other_rows(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    rows = []
+    for k in range(150):  # similarities about 0.8
+        words = list(rng.choice(vocabulary, 200))
+        changed = words.copy()
+        for at in rng.choice(196, 4, replace=False):
+            changed[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    others = [(10_000 + k, " ".join(rng.choice(vocabulary, 30))) for k in range(3000)]
+    alone, among = ({r["id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, rows + others))
+    assert alone == {k: v for k, v in among.items() if k < 10_000}
+    near = [k for k in range(150) if jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8]
+    assert len(near) > 100 and sum(alone[2 * k + 1] == 2 * k for k in near) >= 0.95 * len(near)

@@ -63,6 +63,30 @@ def read_directory(spark, path: str, glob: str = "*.{docx,xlsx,pdf}") -> DataFra
     return files.select("path", "content").orderBy("path")
 
 
+def extension_route(path: Column) -> Column:
+    """docx, xlsx or pdf by the ending of the path, in any case; null for other files."""
+    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.when(ending.isin("docx", "xlsx", "pdf"), ending)
+
+
+def is_file(spark, value: str) -> bool:
+    """Whether a string names a file; what can't be a path, too long or malformed, is text."""
+    if not value or len(value) > 4096 or "\0" in value or "\n" in value:
+        return False
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(value)
+        return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(path))
+    except Exception:  # whatever the file system makes of it, it is no file
+        return False
+
+
+def process_input(spark, value: str) -> DataFrame:
+    """One row (path, content, format, route, text) of an input: a file by what it holds, anything else as text."""
+    if is_file(spark, value):
+        return routed(spark.read.format("binaryFile").load(value).select("path", "content"))
+    return spark.createDataFrame([(None, None, "text", "text", value)], "path string, content binary, format string, route string, text string")
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 

@@ -1,4 +1,4 @@
-"""Blocks and text of docx and xlsx files, by the standard library alone.
+"""Blocks and text of docx, xlsx and pdf files, by the standard library alone.
 
 A block is (block_no, type, level, section, text, rows). Files are parsed on the
 executors, one in a row of a ``binaryFile`` scan; what can't be parsed gives a row with
@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from leakloom.session import ship_package
 from leakloom.sources.formats import ENCRYPTED, archive_kind
+from leakloom.sources.pdf import Broken, pdf_pages
 
 # The name spaces of the formats.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -207,11 +208,28 @@ def xlsx_blocks(content: bytes) -> list[dict]:
     return out
 
 
-PARSERS = {"docx": docx_blocks, "xlsx": xlsx_blocks}
+# --- pdf -------------------------------------------------------------------------
 
 
-def parse_documents(files: DataFrame) -> DataFrame:
-    """(path, format, error, blocks) of files (path, content)."""
+def pdf_blocks(content: bytes) -> list[dict]:
+    """A block of lines for each page that has text, its number as the section; paragraphs are made of the lines later."""
+    try:
+        pages = pdf_pages(content)
+    except Broken as e:
+        raise Unreadable(str(e) if str(e) == "encrypted" else f"corrupted: {e}") from e
+    return [{"type": "page", "level": None, "section": k, "text": text, "rows": None} for k, text in enumerate(pages) if text.strip()]
+
+
+PARSERS = {"docx": docx_blocks, "xlsx": xlsx_blocks, "pdf": pdf_blocks}
+
+
+def parse_documents(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict]]] = PARSERS) -> DataFrame:
+    """(path, format, error, blocks) of files (path, content).
+
+    ``parsers`` by format may be handed in: each makes a file's blocks (type, level,
+    section, text, rows) of its bytes or raises ``Unreadable``. A file without content
+    (null) is a missing one.
+    """
     ship_package(files.sparkSession)
     kind = pa.list_(pa.struct([("block_no", pa.int32()), ("type", pa.string()), ("level", pa.int32()), ("section", pa.int32()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))]))
 
@@ -220,12 +238,14 @@ def parse_documents(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 form, error, blocks = "binary-unknown", None, None
                 try:
+                    if content is None:
+                        raise Unreadable("missing")
                     if content[:8] == ENCRYPTED:
                         raise Unreadable("encrypted")
                     form = "pdf" if content[:5] == b"%PDF-" else archive_kind(content) if content[:2] == b"PK" else form
-                    if form not in PARSERS:
+                    if form not in parsers:
                         raise Unreadable(f"unsupported: {form}")
-                    blocks = [{"block_no": k, **b} for k, b in enumerate(PARSERS[form](content))]
+                    blocks = [{"block_no": k, **b} for k, b in enumerate(parsers[form](content))]
                 except Unreadable as e:
                     error = str(e)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([form]), pa.array([error], pa.string()), pa.array([blocks], kind)], ["path", "format", "error", "blocks"])
@@ -236,12 +256,14 @@ def parse_documents(files: DataFrame) -> DataFrame:
 def gateway_text(form: str, content: bytes) -> str | None:
     """A file's text as the gateway reads it, which is not as the index does; None for what it can't read.
 
-    Plain text without what is not UTF-8; a docx's paragraphs and then its tables; an
+    Plain text without what is not UTF-8; a pdf's pages; a docx's paragraphs and then its tables; an
     xlsx's sheets under their names, cells without a value left out.
     """
     try:
         if form == "txt":
             return content.decode("utf-8", "ignore")
+        if form == "pdf":
+            return "\n".join(pdf_pages(content))
         if form == "docx":
             blocks = [b for b in docx_blocks(content) if b["type"] in ("heading", "paragraph", "table")]
             lines = [b["text"] for b in blocks if b["type"] != "table"]
@@ -254,6 +276,18 @@ def gateway_text(form: str, content: bytes) -> str | None:
                     if own := [value for value, _ in cells if value is not None]:
                         lines.append(" | ".join(own))
             return "\n".join(lines)
-    except Unreadable:
+    except (Unreadable, Broken):
         return None
     return None
+
+
+def gateway_texts(files: DataFrame) -> DataFrame:
+    """``files`` (path, content) with ``text`` as the gateway reads it, by the ending of the path; null for what it can't read."""
+    ship_package(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if content is None else gateway_text(path.rpartition(".")[2].lower(), content) for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(texts, pa.string())], ["path", "text"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string")

@@ -1,11 +1,13 @@
 import io
 import json
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from leakloom.sources import formats, office, payloads
+from leakloom.operators import ingest, locate, registry
+from leakloom.sources import formats, office, payloads, pdf
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -69,6 +71,79 @@ def test_what_the_gateway_reads():
     assert office.gateway_text("txt", b"a\xffb") == "ab" and office.gateway_text("pdf", b"") is None and office.gateway_text("docx", b"x") is None
 
 
+def made_pdf(pages, deflate=True, extra=b"", tounicode=b""):
+    """A file of pages (content streams) whose font F1 has the given map."""
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * k) for k in range(len(pages)))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [" + kids + b"] /Count %d /Resources << /Font << /F1 3 0 R >> >> >>" % len(pages), 3: b"<< /Type /Font /BaseFont /X" + (b" /ToUnicode 4 0 R" if tounicode else b"") + b" >>"}
+
+    def stream(data):
+        body = zlib.compress(data) if deflate else data
+        return b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(body), b" /Filter /FlateDecode" if deflate else b"", body)
+
+    if tounicode:
+        objects[4] = stream(tounicode)
+    for k, page in enumerate(pages):
+        objects[10 + 2 * k] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * k)
+        objects[11 + 2 * k] = stream(page)
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R " + extra + b">>"
+
+
+PAGE = rb"BT /F1 12 Tf 72 700 Td (The first line of a para-) Tj 0 -14 Td (graph \(so to say\) and) Tj T* [(its) -300 (last) 20 (ing end.)] TJ 0 -28 Td (- an item) Tj ET BI /W 1 ID \xff(( EI BT 1 0 0 1 72 500 Tm <4e6578742e> Tj ET"
+
+
+@pytest.mark.parametrize("deflate", [True, False])
+def test_pdf_text(deflate):
+    assert pdf.pdf_pages(made_pdf([PAGE, b"BT (two \\351) Tj ET"], deflate)) == ["The first line of a para-\ngraph (so to say) and\nits lasting end.\n- an item\nNext.", "two é"]
+    mapped = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <AC00> endbfchar 2 beginbfrange <0002> <0004> <0061> <0005> <0006> [<D55C> <AE00>] endbfrange"
+    assert pdf.pdf_pages(made_pdf([b"BT /F1 9 Tf <000100020004> Tj <00050006> Tj ET"], deflate, tounicode=mapped)) == ["가ac한글"]
+    for broken in (made_pdf([PAGE], deflate, b"/Encrypt << /V 1 >> "), b"%PDF-1.4 nothing", made_pdf([PAGE]).replace(b"FlateDecode", b"DCTDecode")):
+        with pytest.raises(pdf.Broken):
+            pdf.pdf_pages(broken)
+    packed = b"20 0 21 9 << /A 1 >> (x)"
+    assert pdf._objects(b"5 0 obj << /Type /ObjStm /N 2 /First 10 >>\nstream\n" + packed + b"\nendstream endobj")[20].startswith(b"<< /A")
+
+
+def test_files_to_documents_postings_and_places(spark, tmp_path):
+    prose = "The merger with the northern company is announced on the first of May and not one day before that."
+    docx = archive({"word/document.xml": f"<w:document {W}><w:body>{p(prose)}<w:tbl><w:tr><w:tc>{p('left “cell”')}</w:tc><w:tc>{p('right  cell')}</w:tc></w:tr></w:tbl>{p('Ende.')}</w:body></w:document>"})
+    for name, content in {"plan.docx": docx, "pay.xlsx": XLSX, "memo.pdf": made_pdf([PAGE]), "bad.docx": b"PK\x03\x04", "note.txt": b"x"}.items():
+        (tmp_path / name).write_bytes(content)
+    documents, postings, index = ingest.ingest_directory(spark, str(tmp_path))
+    rows = {r["doc_id"]: r for r in documents.collect()}
+    assert set(rows) == {"plan", "pay", "memo", "bad"}
+    assert rows["plan"]["text"] == prose + '\nleft "cell" | right cell\nEnde.'
+    assert rows["memo"]["text"] == "The first line of a paragraph (so to say) and its lasting end.\n- an item Next." and rows["memo"]["format"] == "pdf"
+    assert rows["pay"]["text"].startswith("Pay roll\nname |  | 3.5\n2024-01-02") and rows["bad"]["error"] and rows["bad"]["text"] is None
+    expected = registry.build_postings(documents.filter("text is not null").select("doc_id", "text"))
+    # The text of a document is not normalised again as a whole, which moves places but no window.
+    both = ("hash", "doc_id")
+    assert sorted(map(tuple, postings.select(*both).collect())) == sorted(map(tuple, expected.select(*both).collect())) and postings.filter("doc_id = 'plan'").count() > 40
+    at = rows["plan"]["text"].index("right")
+    places = spark.createDataFrame([("plan", at, at + 5), ("plan", 4, 10), ("memo", rows["memo"]["text"].index("Next"), None)], "doc_id string, start int, end int")
+    got = {(r["doc_id"], r["start"]): r for r in locate.locate(index, places).collect()}
+    assert (got["plan", at]["type"], got["plan", at]["cell"]["col"], got["plan", at]["word_indices"]) == ("table", 1, [3])
+    assert got["plan", 4]["word_indices"] == [1] and got["plan", 4]["raw_start"] == 4
+    assert got["memo", rows["memo"]["text"].index("Next")]["page"] == 1
+
+
+def test_parsers_can_be_handed_in(spark, files):
+    mine = {"pdf": lambda content: [{"type": "paragraph", "level": None, "section": None, "text": f"{len(content)} bytes", "rows": None}]}
+    rows = {r["path"]: r for r in office.parse_documents(files, mine).collect()}
+    assert rows["c.pdf"]["blocks"][0]["text"] == "8 bytes" and rows["a.docx"]["error"] == "unsupported: docx"
+    missing = spark.createDataFrame([("gone.docx", None)], "path string, content binary")
+    assert office.parse_documents(missing).first()["error"] == "missing"
+    got = {r["path"]: r["text"] for r in office.gateway_texts(files).collect()}
+    assert got["f.txt"] == "text é" and got["a.docx"].startswith("Report") and got["e.bin"] is None
+
+
+def test_inputs_and_endings(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("from a file")
+    rows = [formats.process_input(spark, x).first() for x in (str(tmp_path / "f.txt"), "just words", "x" * 5000, str(tmp_path))]
+    assert [(r["route"], r["text"]) for r in rows] == [("text", "from a file"), ("text", "just words"), ("text", "x" * 5000), ("text", str(tmp_path))]
+    got = spark.createDataFrame([("a.DOCX",), ("b/c.pdf",), ("d.txt",), ("e",)], "p string").select(formats.extension_route(F.col("p"))).collect()
+    assert [r[0] for r in got] == ["docx", "pdf", None, None]
+
+
 def test_directory(spark, tmp_path):
     for k, v in FILES.items():
         (tmp_path / k).write_bytes(v)

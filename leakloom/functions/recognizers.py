@@ -109,6 +109,34 @@ PERSONAL_DATA = (
     Recognizer("KR_DATE_OF_BIRTH", r"(?<!\d)(\d{4})[-./](\d{1,2})[-./](\d{1,2})(?!\d)", 0.85, calendar_date, ("계약일", "작성일", "발행일", "기준일"), ("생년월일", "생일", "출생일", "date of birth", "dob")),
 )
 
+# The patterns that a document's check counts, and the shape of a date, which is no account number.
+CATALOGUE = {
+    "주민등록번호": r"\d{6}-[1-4]\d{6}",
+    "전화번호": r"01[016789]-\d{3,4}-\d{4}",
+    "이메일": r"[\w.\-]+@[\w\-]+\.[a-zA-Z]{2,}",
+    "계좌번호": r"(?<!\d)\d{2,6}-\d{2,6}-\d{2,10}(?!\d)",
+    "AWS_Access_Key": r"AKIA[0-9A-Z]{16}",
+    "DB_접속문자열": r"(?:postgres|mysql|mongodb|redis)(?:\+\w+)?://\S+",
+    "Private_Key_PEM": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "JWT_Token": r"eyJ[\w-]+\.[\w-]+\.[\w-]+",
+    "GitHub_Token": r"ghp_[A-Za-z0-9]{20,}",
+    "Slack_Token": r"xox[baprs]-[A-Za-z0-9\-]{10,}",
+}
+ACCOUNT, DATE_SHAPE = "계좌번호", r"^(19|20)\d{2}-\d{2}-\d{2}$"
+
+
+def catalogue_matches(text: Column, kind: str) -> Column:
+    """array<string>: what the catalogue's pattern of a kind finds."""
+    found = F.regexp_extract_all(text, F.lit(f"(?U){CATALOGUE[kind]}"), F.lit(0))
+    return F.filter(found, lambda x: ~x.rlike(DATE_SHAPE)) if kind == ACCOUNT else found
+
+
+def catalogue_counts(text: Column) -> Column:
+    """array<struct<kind, n>> of the catalogue's kinds that are in a text, in its order."""
+    counts = F.array(*[F.struct(F.lit(k).alias("kind"), F.size(catalogue_matches(text, k)).alias("n")) for k in CATALOGUE])
+    return F.filter(counts, lambda c: c["n"] > 0)
+
+
 #: This library's own sample of a rule table.
 SAMPLE_RULES = (
     Rule("R001", "HEX_TOKEN", r"[0-9a-f]{32,64}", 0.9, ("token", "api_key", "secret"), True),
@@ -116,6 +144,15 @@ SAMPLE_RULES = (
 )
 
 
+def read_rules(spark, path: str) -> tuple[Rule, ...]:
+    """The enabled rules of a table at a path (Parquet); a missing table is an error, as one without rules is."""
+    from leakloom.sources.formats import exists
+
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no rule table at {path}")
+    return load_rules(spark.read.parquet(path))
+
+
 def load_rules(rules: DataFrame) -> tuple[Rule, ...]:
     """The enabled rules of a (small) table, in order of rule_id; no enabled rule is an error."""
     rows = rules.where("enabled = 1").orderBy("rule_id").collect()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakloom.functions.recognizers import PERSONAL_DATA, all_hits, hit_counts
-from leakloom.functions.spans import span_label
+from leakloom.functions.spans import parse_span, span_label, span_text
 from leakloom.functions.text import normalize_text
 from leakloom.operators.matching import signals
+from leakloom.session import checkpointed
 
 HASH, SIGNATURE, NONE = "windowhash", "signature", "none"
 # What users are told.
@@ -50,6 +54,75 @@ def decide(prompts: DataFrame, postings: DataFrame | None, id_col: str = "reques
     )
 
 
+@dataclass(frozen=True)
+class Detector:
+    """Something that looks at prompts: ``query`` makes (id, score, evidence, span, windows) of prompts (id, prompt).
+
+    A prompt may have several rows, the strongest with the most windows and then the
+    highest score. One with a score of at least ``threshold`` blocks; ``reason`` says why.
+    """
+
+    name: str
+    entity_type: str
+    query: Callable[[DataFrame, str], DataFrame]
+    threshold: float = 0.0
+    reason: Callable[[Column, Column], Column] | None = None
+
+
+def percentage(share: Column) -> Column:
+    """A share as whole per cent, halves to even."""
+    return F.concat(F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def hash_detector(postings: DataFrame, sampling: bool = True) -> Detector:
+    """Prompts that repeat registered text."""
+
+    def query(prompts: DataFrame, id_col: str) -> DataFrame:
+        found = signals(prompts, postings, id_col, "prompt", sampling)
+        return found.select(id_col, "score", F.col("doc_id").cast("string").alias("evidence"), span_label(F.col("doc_start"), F.col("doc_end")).alias("span"), "windows")
+
+    return Detector(HASH, "CONFIDENTIAL_DOCUMENT", query, 0.0, lambda d, blocked: F.concat(d["evidence"], F.lit(" "), d["span"], F.lit(": "), d["windows"].cast("string"), F.lit(" windows, "), percentage(d["score"])))
+
+
+def signature_detector(recognizers=PERSONAL_DATA, as_of: Column | None = None) -> Detector:
+    """Prompts with personal data or credentials."""
+
+    def query(prompts: DataFrame, id_col: str) -> DataFrame:
+        hits = prompts.select(id_col, all_hits(F.col("prompt"), recognizers, as_of).alias("_hits")).filter(F.size("_hits") > 0)
+        return hits.select(id_col, F.array_max(F.transform("_hits", lambda h: h["score"])).alias("score"), hit_counts(F.col("_hits")).alias("evidence"), F.lit(None).cast("string").alias("span"), F.size("_hits").cast("long").alias("windows"))
+
+    return Detector(SIGNATURE, "PERSONAL_DATA", query, 0.0, lambda d, blocked: F.concat(F.lit("signature: "), d["evidence"]))
+
+
+def decide_by(prompts: DataFrame, detectors: list[Detector], id_col: str = "request_id", text_col: str = "text") -> DataFrame:
+    """(id, blocked, decided_by, entity_type, score, evidence, span, reason): the verdict of the first detector that blocks.
+
+    Detectors are asked one after the other, each only for the prompts that those before
+    it let pass. With none that blocks a prompt passes.
+    """
+    normal = checkpointed(prompts.select(F.col(id_col), normalize_text(F.col(text_col)).alias("prompt")))
+    verdicts, left = None, normal
+    for detector in detectors:
+        strongest = Window.partitionBy(id_col).orderBy(F.desc("windows"), F.desc("score"), "evidence", "span")
+        top = detector.query(left, id_col).withColumn("_n", F.row_number().over(strongest)).filter((F.col("_n") == 1) & (F.col("score") >= detector.threshold))
+        d = F.struct("score", "evidence", "span", "windows")
+        why = detector.reason(d, F.lit(True)) if detector.reason else F.lit(detector.name)
+        own = checkpointed(top.select(id_col, F.lit(detector.name).alias("decided_by"), F.lit(detector.entity_type).alias("entity_type"), "score", "evidence", "span", why.alias("reason")))
+        verdicts = own if verdicts is None else verdicts.unionByName(own)
+        left = left.join(own.select(id_col), id_col, "left_anti")
+    if verdicts is None:
+        raise ValueError("no detector")
+    both = normal.select(id_col).join(verdicts, id_col, "left")
+    return both.select(id_col, F.col("decided_by").isNotNull().alias("blocked"), F.coalesce("decided_by", F.lit(NONE)).alias("decided_by"), "entity_type", "score", "evidence", "span", F.coalesce("reason", F.lit("no match")).alias("reason"))
+
+
+def decided_slices(decisions: DataFrame, documents: DataFrame) -> DataFrame:
+    """``decisions`` (doc_id, doc_span) with ``slice``, the registered text that they name (documents: doc_id, normalized_text)."""
+    span = parse_span(F.col("doc_span"))
+    own = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "normalized_text")
+    return decisions.join(own, "doc_id", "left").withColumn("slice", F.when(F.col("doc_span").isNotNull(), span_text(F.col("normalized_text"), span["start"], span["end"]))).drop("normalized_text")
+
+
 def gateway_decision(blocked: Column, decided_by: Column) -> Column:
     """struct<action, reason_code, user_message, http_status>: what the gateway carries out."""
     personal = decided_by == SIGNATURE

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakloom.functions.text import normalize_text, unwrapped_lines
-from leakloom.operators.locate import build_index, linearize_table
+from leakloom.operators.locate import build_index, described, linearize_table, locate
 from leakloom.operators.registry import POSTING
 from leakloom.operators.windows import WINDOW, windows
 from leakloom.session import checkpointed
@@ -72,3 +72,9 @@ def ingest_files(files: DataFrame, parsers=PARSERS) -> tuple[DataFrame, DataFram
 def ingest_directory(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``ingest_files`` of a folder's own docx, xlsx and pdf files."""
     return ingest_files(read_directory(spark, folder))
+
+
+def located(index: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, start, end, block_index, type, where): places of documents in words."""
+    found = locate(index, places)
+    return found.select("doc_id", "start", "end", "block_index", "type", described(found).alias("where")).orderBy("doc_id", "start")

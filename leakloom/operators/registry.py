@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakloom.functions.text import normalize_text
 from leakloom.operators.windows import WINDOW, windows
+from leakloom.session import checkpointed
 
 POSTING = ["hash", "doc_id", "start", "end"]
 #: Windows in as many documents as this identify none of them.
@@ -62,6 +63,62 @@ def retire_document(postings: DataFrame, doc_id) -> tuple[DataFrame, DataFrame]:
     return postings.filter(~mine), postings.agg(F.count_if(mine).alias("removed"))
 
 
+def in_both(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The postings that two indexes share, each once."""
+    return one.select(*POSTING).intersect(other.select(*POSTING))
+
+
+def all_postings(*parts: DataFrame) -> DataFrame:
+    """The postings of all parts, each once."""
+    out = parts[0].select(*POSTING)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*POSTING))
+    return out.distinct()
+
+
+def append_postings(current: DataFrame, new: DataFrame) -> DataFrame:
+    """``current`` and ``new`` without looking at what is there; what both hold stays once."""
+    return all_postings(current, new)
+
+
+def delete_postings(current: DataFrame, gone: DataFrame) -> DataFrame:
+    """``current`` without the postings of ``gone``, whether it has them or not."""
+    return current.select(*POSTING).join(gone.select(*POSTING), POSTING, "left_anti")
+
+
+def index_totals(current: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row: documents and windows that the registry counts for active documents, those that the index has, and whether they agree.
+
+    An index holds a window of a document once however often it stands there, so its
+    postings are counted by place.
+    """
+    active = current.filter("status = 'active'").agg(F.count_if(F.col("index_status") == "indexed").alias("documents"), F.coalesce(F.sum("index_windows"), F.lit(0)).cast("long").alias("windows"))
+    own = postings.join(current.filter("status = 'active'").select("doc_id"), "doc_id", "left_semi").select(*POSTING).distinct()
+    there = own.agg(F.count_distinct("doc_id").alias("indexed_documents"), F.count(F.lit(1)).alias("indexed_windows"))
+    both = active.crossJoin(there)  # one row each
+    return both.withColumn("ok", (F.col("documents") == F.col("indexed_documents")) & (F.col("windows") == F.col("indexed_windows")))
+
+
+# --- the ledger: what stands in the index, by document ----------------------------
+
+
+def windows_of(postings: DataFrame, doc_id) -> DataFrame:
+    """(hash, start, end) of a document, in order of start."""
+    return postings.filter(F.col("doc_id").eqNullSafe(F.lit(doc_id))).select("hash", "start", "end").orderBy("start", "end", "hash")
+
+
+def ledger_upsert(ledger: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``ledger`` with ``rows`` in place of those of the same key; several rows of one key are an error."""
+    other = [c for c in ledger.columns if c != key]
+    once = rows.groupBy(key).agg(*[F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several rows of one document"))).otherwise(F.first(c)).alias(c) for c in other])
+    return ledger.join(rows.select(key), key, "left_anti").select(*ledger.columns).unionByName(once.select(*ledger.columns))
+
+
+def ledger_counts(postings: DataFrame) -> DataFrame:
+    """(doc_id, windows) of each document in the ledger."""
+    return postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"))
+
+
 def index_parity(one: DataFrame, other: DataFrame) -> DataFrame:
     """Per document: postings in both, only in the first, only in the second."""
     a, b = one.select(*POSTING).distinct().withColumn("x", F.lit(1)), other.select(*POSTING).distinct().withColumn("y", F.lit(1))
@@ -130,6 +187,39 @@ def pending(current: DataFrame) -> DataFrame:
     return current.filter("index_status = 'pending'").orderBy("registered_at", "doc_id")
 
 
+def claim(current: DataFrame, n: int = 1) -> DataFrame:
+    """``current`` with the first ``n`` documents that wait now being indexed; ``claimed`` tells which.
+
+    Written as the table's next version by the one job that claims, so no two have the
+    same document.
+    """
+    first = pending(current).limit(n).select("doc_id", F.lit(True).alias("_mine"))
+    both = current.join(F.broadcast(first), "doc_id", "left")  # n rows
+    mine = F.col("_mine").isNotNull()
+    return both.withColumn("index_status", F.when(mine, "indexing").otherwise(F.col("index_status"))).withColumn("claimed", mine).drop("_mine")
+
+
+def index_pending(current: DataFrame, postings: DataFrame, parse, now: Column, n: int = 16) -> tuple[DataFrame, DataFrame, bool]:
+    """One turn of the indexer: registry and postings after it, and whether there was anything to do.
+
+    ``parse`` makes (doc_id, text, error) of the claimed documents (doc_id, filename,
+    original); one that is retired only loses its postings. What was left half done by a
+    run that ended is claimed again after ``recover``.
+    """
+    taken = checkpointed(claim(current, n))
+    mine = taken.filter("claimed")
+    if mine.isEmpty():
+        return current, postings, False
+    live = mine.filter("status <> 'retired'")
+    texts = checkpointed(parse(live.select("doc_id", "filename", "original")).select("doc_id", normalize_text(F.col("text")).alias("text"), "error"))
+    new = windows(texts.filter("error is null"), "doc_id", "text").select(*POSTING)
+    new = checkpointed(new)
+    counts = ledger_counts(new)
+    results = mine.select("doc_id", "version").join(texts, "doc_id", "left").join(counts, "doc_id", "left").select("doc_id", "version", F.col("text").alias("normalized_text"), "error", "windows")
+    after = indexing_outcome(taken.drop("claimed"), results, now).drop("outcome")
+    return checkpointed(after), checkpointed(replace_postings(postings, new, mine.select("doc_id"))), True
+
+
 def indexing_outcome(current: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """The registry after indexing ``results`` (doc_id, version, normalized_text, error, windows).
 

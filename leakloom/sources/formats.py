@@ -69,6 +69,16 @@ def extension_route(path: Column) -> Column:
     return F.when(ending.isin("docx", "xlsx", "pdf"), ending)
 
 
+def bare_path(path: Column) -> Column:
+    """A path without the scheme of local files, which Spark writes in more ways than one."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def is_file(spark, value: str) -> bool:
     """Whether a string names a file; what can't be a path, too long or malformed, is text."""
     if not value or len(value) > 4096 or "\0" in value or "\n" in value:

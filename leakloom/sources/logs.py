@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leakloom.sources.formats import bare_path
+
 SCHEMA = T.StructType([
     T.StructField("decision_id", T.StringType()), T.StructField("request_id", T.StringType()), T.StructField("ts", T.DoubleType()),
     T.StructField("service", T.StringType()), T.StructField("format", T.StringType()), T.StructField("text_chars", T.IntegerType()),
@@ -35,6 +37,58 @@ def rejection(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reject", why)
 
 
+def is_data_error(sqlstate: Column) -> Column:
+    """Whether a store refused a row for what is in it (SQLSTATE classes 22 and 23), not for lack of a connection."""
+    return F.coalesce(sqlstate.rlike("^2[23]"), F.lit(False))
+
+
+def log_lines(decisions: DataFrame) -> DataFrame:
+    """(value): decisions as lines of JSON, all columns of the log in their order, nulls too."""
+    return decisions.select(F.to_json(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def append_log(decisions: DataFrame, folder: str, per_file: int = 100_000) -> bool:
+    """Append decisions to the log's folder, in files of at most ``per_file`` lines that appear whole.
+
+    What can't be written costs no decision: the answer is False then.
+    """
+    try:
+        log_lines(decisions).write.mode("append").option("maxRecordsPerFile", per_file).text(folder)
+    except Exception:  # whatever fails there, the decisions stand
+        return False
+    return True
+
+
+def scanned(spark: SparkSession, log_dir: str, shipped: DataFrame) -> DataFrame:
+    """One row over all files of a log: lines, shipped, pending, legacy and duplicate ids; ``shipped`` holds the paths that were read (path)."""
+    lines = spark.read.text(log_dir).withColumn("path", bare_path(F.url_decode(F.col("_metadata.file_path"))))
+    rows = parsed_lines(lines).filter("kind <> 'blank'").select("path", "kind", "decision_id")
+    done = shipped.select(bare_path(F.col("path")).alias("path")).distinct().withColumn("_done", F.lit(True))
+    rows = rows.join(done, "path", "left")
+    record = F.col("kind") == "record"
+    counts = rows.agg(F.count(F.lit(1)).alias("lines"), F.count_if(record & F.col("_done").isNotNull()).alias("shipped"), F.count_if(record & F.col("_done").isNull()).alias("pending"), F.count_if(~record).alias("legacy"))
+    twice = rows.filter(record).groupBy("decision_id").count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate_ids"))
+    return counts.crossJoin(twice)  # one row each
+
+
+def tag_counts(decisions: DataFrame, prefix: str) -> DataFrame:
+    """One row: the decisions whose request ids begin with ``prefix``, and how many different ids they have."""
+    return decisions.filter(F.startswith("request_id", F.lit(prefix))).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("decision_id").alias("n_ids"))
+
+
+def reviewed(decisions: DataFrame, texts: DataFrame | None = None, verdicts: DataFrame | None = None, queue: DataFrame | None = None) -> DataFrame:
+    """``decisions`` with what review tables hold of their requests, one row a request in each (all by request_id).
+
+    Columns of a review table that a decision has too get the table's name before them.
+    """
+    out = decisions
+    for name, table in (("review", texts), ("judge", verdicts), ("queue", queue)):
+        if table is not None:
+            own = table.select("request_id", *[F.col(c).alias(f"{name}_{c}" if c in out.columns else c) for c in table.columns if c != "request_id"])
+            out = out.join(own, "request_id", "left")
+    return out
+
+
 def as_decisions(rows: DataFrame) -> DataFrame:
     """Records as rows of the table of decisions: seconds become a timestamp, ratios floats, prompts are kept."""
     return rows.select("decision_id", "request_id", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")).alias("ts"), "service", "format", "text_chars", "blocked", "decided_by", "doc_id", "doc_span", "input_span", F.col("score").cast("float").alias("score"), "pii_hits", "reason", "hash_status", "signature_status", F.col("total_ms").cast("float").alias("total_ms"), "prompt", F.lit(True).alias("prompt_kept"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from email.parser import BytesParser
 from email.policy import HTTP
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakloom.functions.text import normalize_text
+from leakloom.session import ship_package
 
 ITEM = "array<struct<type:string,content:string,file_id:string,filename:string,image:string>>"
 
@@ -115,3 +118,17 @@ def multipart_upload(content_type: str | None, body: bytes) -> dict:
         elif name == "file":
             out["filename"], out["file_bytes"] = part.get_filename(), part.get_payload(decode=True)
     return out
+
+
+def uploads(requests: DataFrame) -> DataFrame:
+    """``requests`` (request_id, content_type, body) with purpose, filename, file_bytes and body_size of their forms."""
+    kind = "request_id string, purpose string, filename string, file_bytes binary, body_size int"
+    ship_package(requests.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [multipart_upload(t, b or b"") for t, b in zip(batch["content_type"].to_pylist(), batch["body"].to_pylist(), strict=True)]
+            columns = [pa.array([x[c] for x in found], k) for c, k in (("purpose", pa.string()), ("filename", pa.string()), ("file_bytes", pa.binary()), ("body_size", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch["request_id"], *columns], ["request_id", "purpose", "filename", "file_bytes", "body_size"])
+
+    return requests.select(F.col("request_id").cast("string").alias("request_id"), F.col("content_type").cast("string").alias("content_type"), F.col("body").cast("binary").alias("body")).mapInArrow(run, kind)

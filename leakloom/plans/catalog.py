@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakloom.functions import recognizers, spans, text
-from leakloom.operators import decisions, evaluation, locate, matching, registry, windows
+from leakloom.operators import decisions, evaluation, ingest, locate, matching, registry, windows
 from leakloom.plans import oracles
 from leakloom.session import spread
 from leakloom.sources import formats, logs, payloads
@@ -289,12 +293,108 @@ def unwrapped_paragraphs(spark, sf_dir):
     return _long(docs.select("doc_id", F.size(paragraphs).alias("n_paragraphs"), F.sha2(F.array_join(paragraphs, "\n").cast("binary"), 256).alias("sha256")))
 
 
+def _as_docx(texts: pd.Series) -> pd.Series:
+    """Each text as a docx file, a paragraph for each of its lines."""
+    out = []
+    for text in texts:
+        lines = "".join(f"<w:p><w:r><w:t xml:space=\"preserve\">{escape(x)}</w:t></w:r></w:p>" for x in (text or "").split("\n"))
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as archive:
+            archive.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+        out.append(held.getvalue())
+    return pd.Series(out)
+
+
+def file_postings(spark, sf_dir):
+    """The registry as docx files, parsed and posted: windows of each document and the length of its text."""
+    items = _table(spark, sf_dir, "benchmark")
+    files = items.select(F.concat(F.lit("/made/"), F.col("item_id").cast("string"), F.lit(".docx")).alias("path"), F.pandas_udf(_as_docx, "binary")("text").alias("content"))
+    documents, postings, _ = ingest.ingest_files(files)
+    counts = registry.ledger_counts(postings)
+    return documents.join(counts, "doc_id", "left").select(F.col("doc_id").cast("long").alias("item_id"), "format", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.coalesce("windows", F.lit(0)).cast("long").alias("n_windows"))
+
+
+#: Texts with and without personal data.
+PERSONAL = [
+    "id 900101-1234567.", "id 990231-1234567", "id 301231-3234567", "id 900101 5234567", "1900101-1234567", "call 010-1234-5678 or +82 10 1234 5678", "문서번호 010-1234-5678", "Document ID: 01012345678",
+    "mail a.b+c@example.co.kr", "생년월일: 1990-01-02", "dob 1990-13-02", "on 1990-01-02", "작성일 1990-01-02 dob", "b@c.de 900101-1234567 a@b.de, 생일 2001.2.3 010.1111.2222",
+]
+
+
+def personal_data_counts(spark, sf_dir):
+    """All recognizers over literal texts, since the tables hold no Korean personal data."""
+    rows = spark.createDataFrame(list(enumerate(PERSONAL)), "k long, t string")
+    return rows.select("k", recognizers.hit_counts(recognizers.all_hits(F.col("t"), as_of=F.lit(AS_OF).cast("date"))).alias("pii_hits"))
+
+
+def credential_catalogue(spark, sf_dir):
+    """What the catalogue's patterns find in the documents, but for account numbers, whose look-around SQL lacks."""
+    counts = F.explode(F.filter(recognizers.catalogue_counts(F.col("normal")), lambda c: c["kind"] != recognizers.ACCOUNT))
+    return _long(_normal(spark, sf_dir).select("doc_id", counts.alias("c")).select("doc_id", "c.kind", "c.n"))
+
+
+def decided_slices(spark, sf_dir):
+    """The registered text that each blocked document repeats."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), text.normalize_text(F.col("text")).alias("normalized_text"))
+    found = excerpt_signals(spark, sf_dir).filter("signal_rank = 1").select("prompt_id", F.col("doc_id").cast("string").alias("doc_id"), spans.span_label(F.col("doc_start"), F.col("doc_end")).alias("doc_span"))
+    return decisions.decided_slices(found, items).select("prompt_id", "doc_id", "doc_span", F.sha2(F.col("slice").cast("binary"), 256).alias("sha256"))
+
+
+def detector_verdicts(spark, sf_dir):
+    """The verdicts of pluggable detectors over all documents."""
+    prompts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
+    asked = [decisions.hash_detector(_registry(spark, sf_dir)), decisions.signature_detector(as_of=F.lit(AS_OF).cast("date"))]
+    return decisions.decide_by(prompts, asked).groupBy("decided_by", "blocked", "evidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def index_totals(spark, sf_dir):
+    """Whether the registry's counts are those of the index."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", text.normalize_text(F.col("text")).alias("normal"))
+    current = items.select(F.col("item_id").alias("doc_id"), F.when(F.col("item_id") % 5 == 0, "retired").otherwise("active").alias("status"), F.lit("indexed").alias("index_status"), text.window_count(F.col("normal"), windows.WINDOW).alias("index_windows"))
+    return registry.index_totals(current, _registry(spark, sf_dir))
+
+
+def ledger_windows(spark, sf_dir):
+    """The places of one document's windows, in order."""
+    return _long(registry.windows_of(_registry(spark, sf_dir), 1).select("start", "end"))
+
+
+def claimed_documents(spark, sf_dir):
+    """The documents that a turn of the indexer takes, first come first."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "pending").otherwise("indexed").alias("index_status"), F.timestamp_seconds(F.col("n_chars")).alias("registered_at"))
+    return registry.claim(docs, 50).filter("claimed").select("doc_id", "index_status")
+
+
+def tag_counts(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("request_id"), F.col("event_id").cast("string").alias("decision_id"))
+    return logs.tag_counts(events, "c")
+
+
+def log_round_trip(spark, sf_dir):
+    """Events as decisions, written as log lines and read back."""
+    events = _table(spark, sf_dir, "events")
+    none, word = F.lit(None).cast("string"), lambda x: F.lit(x)
+    rows = events.select(F.col("event_id").cast("string").alias("decision_id"), F.concat(F.lit("r\n\""), F.col("event_id").cast("string")).alias("request_id"), F.unix_timestamp("ts").cast("double").alias("ts"), none.alias("service"), F.col("event_type").alias("format"), F.lit(1).alias("text_chars"), (F.col("value") > 50).alias("blocked"), word("none").alias("decided_by"), none.alias("doc_id"), none.alias("doc_span"), none.alias("input_span"), F.col("value").alias("score"), none.alias("pii_hits"), word("").alias("reason"), word("ok").alias("hash_status"), word("ok").alias("signature_status"), F.lit(1.0).alias("total_ms"), F.col("props").alias("prompt"))
+    back = logs.parsed_lines(logs.log_lines(rows))
+    return back.groupBy("kind", "format", "blocked").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("request_id").alias("n_requests"), F.sum("ts").cast("long").alias("sum_ts"), F.min("prompt").alias("first_prompt"))
+
+
+def postings_changes(spark, sf_dir):
+    """Two states of all documents, compared window by window and place by place."""
+    docs = _table(spark, sf_dir, "documents")
+    later = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Changed since. "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))).filter("doc_id % 10 <> 9")
+    added, removed = registry.postings_diff(registry.build_postings(docs), registry.build_postings(later))
+    counts = added.select("doc_id", F.lit(1).alias("a"), F.lit(0).alias("r")).unionByName(removed.select("doc_id", F.lit(0).alias("a"), F.lit(1).alias("r")))
+    return counts.groupBy("doc_id").agg(F.sum("a").alias("n_added"), F.sum("r").alias("n_removed"))
+
+
 NAMED = [
     normalize_documents, normalization_stability, matching_form_lengths, compact_lengths, window_counts, window_hash_exact, shared_windows, unique_postings,
     identifying_windows, excerpt_matches, match_clusters, match_spans_top3, excerpt_signals, leak_decisions, postings_diff, retire_document, email_hits, pii_summary,
     rule_hits_token, mask_hits, chat_user_prompts, chat_bodies, responses_prompts, event_json_fields, word_positions, locate_middle, status_summary, decision_rollup,
     reconcile_missing, missing_decisions, dedup_by_id, longest_run_bins, recall_by_excerpt_length, recall_by_edit, false_positives, latency_percentiles, service_for_host,
-    label_rates, unwrapped_paragraphs,
+    label_rates, unwrapped_paragraphs, file_postings, personal_data_counts, credential_catalogue, decided_slices, detector_verdicts, index_totals, ledger_windows,
+    claimed_documents, tag_counts, log_round_trip, postings_changes,
 ]
 
 

@@ -220,6 +220,12 @@ paragraph AS (SELECT doc_id, p, string_agg(CASE WHEN fresh = 1 OR hyphen THEN ''
 SELECT d.doc_id, count(p) AS n_paragraphs, sha256(coalesce(string_agg(p.text, chr(10) ORDER BY p), '')) AS sha256 FROM documents d LEFT JOIN paragraph p USING (doc_id) GROUP BY 1"""
 
 
+CATALOGUE = "counted AS (" + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, len(regexp_extract_all(normal, '{pattern}')) AS n FROM docs" for kind, pattern in {
+    "주민등록번호": r"\d{6}-[1-4]\d{6}", "전화번호": r"01[016789]-\d{3,4}-\d{4}", "이메일": r"[\pL\pN_.\-]+@[\pL\pN_\-]+\.[a-zA-Z]{2,}", "AWS_Access_Key": r"AKIA[0-9A-Z]{16}",
+    "DB_접속문자열": r"(?:postgres|mysql|mongodb|redis)(?:\+\w+)?://\S+", "Private_Key_PEM": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "JWT_Token": r"eyJ[\w-]+\.[\w-]+\.[\w-]+", "GitHub_Token": "ghp_[A-Za-z0-9]{20,}", "Slack_Token": r"xox[baprs]-[A-Za-z0-9\-]{10,}",
+}.items()) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     user = "SELECT conv_id, count(*) AS n_turns, string_agg(text, chr(10) ORDER BY turn, text) AS prompt FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\S') GROUP BY 1"
     return {
@@ -269,6 +275,25 @@ SELECT doc_id, start, block_index, local_start, local_start AS raw_start, CASE W
         "longest_run_bins": f"{FOUND}, g AS (SELECT prompt_id, doc_id, pos, pos - row_number() OVER (PARTITION BY prompt_id, doc_id ORDER BY pos, doc_start) AS run FROM found), r AS (SELECT prompt_id, doc_id, run, count(DISTINCT pos) + {WINDOW - 1} AS length FROM g GROUP BY 1, 2, 3), l AS (SELECT prompt_id, doc_id, max(length) AS length FROM r GROUP BY 1, 2) SELECT ({BINS})::BIGINT AS from_length, count(*) AS n FROM l GROUP BY 1",
         "recall_by_excerpt_length": _recall_by_length(),
         "recall_by_edit": _recall_by_edit(),
+        "file_postings": f"""WITH cut AS (SELECT item_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM benchmark), rows AS (SELECT item_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM cut),
+lines AS (SELECT item_id, k, {_normal('part')} AS line FROM rows), whole AS (SELECT item_id, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE line <> '') AS normal FROM lines GROUP BY 1)
+SELECT item_id, 'docx' AS format, coalesce(length(normal), 0)::BIGINT AS n_chars, coalesce(greatest(length({COMPACT}) - {WINDOW - 1}, 0), 0)::BIGINT AS n_windows FROM whole""",
+        "personal_data_counts": """SELECT * FROM (VALUES (0::BIGINT, 'KR_RRN:1'), (1, NULL), (2, NULL), (3, 'KR_FOREIGN_REGISTRATION_NUMBER:1'), (4, NULL), (5, 'KR_PHONE_NUMBER:2'), (6, NULL), (7, NULL),
+(8, 'EMAIL_ADDRESS:1'), (9, 'KR_DATE_OF_BIRTH:1'), (10, NULL), (11, NULL), (12, NULL), (13, 'EMAIL_ADDRESS:2,KR_DATE_OF_BIRTH:1,KR_PHONE_NUMBER:1,KR_RRN:1')) v(k, pii_hits)""",
+        "credential_catalogue": f"WITH {DOCS}, {CATALOGUE} SELECT doc_id, kind, n::BIGINT AS n FROM counted WHERE n > 0",
+        "decided_slices": f"{FOUND}, {SAMPLED}, {CLUSTERS}, {SIGNALS} SELECT s.prompt_id, s.doc_id::VARCHAR AS doc_id, doc_start || '-' || doc_end AS doc_span, sha256(substr(i.normal, doc_start + 1, doc_end - doc_start)) AS sha256 FROM signals s JOIN items i ON i.item_id = s.doc_id WHERE signal_rank = 1",
+        "detector_verdicts": f"""{FOUND}, {SAMPLED}, {CLUSTERS}, {SIGNALS}, {_spans(EMAIL)}, mails AS (SELECT doc_id, 'EMAIL_ADDRESS:' || count(*) AS hits FROM spans GROUP BY 1),
+v AS (SELECT CASE WHEN s.doc_id IS NOT NULL THEN 'windowhash' WHEN m.doc_id IS NOT NULL THEN 'signature' ELSE 'none' END AS decided_by, coalesce(s.doc_id::VARCHAR, m.hits) AS evidence FROM docs d LEFT JOIN (SELECT * FROM signals WHERE signal_rank = 1) s ON d.doc_id = s.prompt_id LEFT JOIN mails m ON d.doc_id = m.doc_id)
+SELECT decided_by, decided_by <> 'none' AS blocked, evidence, count(*) AS n FROM v GROUP BY ALL""",
+        "index_totals": f"WITH {ITEMS}, n AS (SELECT item_id, greatest(length({COMPACT}) - {WINDOW - 1}, 0) AS n FROM items WHERE item_id % 5 <> 0) SELECT count(*) AS documents, sum(n)::BIGINT AS windows, count(*) FILTER (WHERE n > 0) AS indexed_documents, sum(n)::BIGINT AS indexed_windows, count(*) = count(*) FILTER (WHERE n > 0) AS ok FROM n",
+        "ledger_windows": f"WITH {ITEMS}, one AS (SELECT * FROM items WHERE item_id = 1), {_windows('reg', 'one', 'item_id')} SELECT start, \"end\" FROM reg",
+        "claimed_documents": "SELECT doc_id, 'indexing' AS index_status FROM documents WHERE doc_id % 3 = 0 ORDER BY n_chars, doc_id LIMIT 50",
+        "tag_counts": "SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events WHERE starts_with(event_type, 'c')",
+        "log_round_trip": "SELECT 'record' AS kind, event_type AS format, value > 50 AS blocked, count(*) AS n, count(DISTINCT event_id) AS n_requests, sum(epoch(date_trunc('second', ts)))::BIGINT AS sum_ts, min(props) AS first_prompt FROM events GROUP BY ALL",
+        "postings_changes": f"""WITH {DOCS}, later AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {_normal("'Changed since. ' || coalesce(text, '')")} ELSE {_normal('text')} END AS normal FROM documents WHERE doc_id % 10 <> 9),
+touched AS (SELECT * FROM docs WHERE doc_id % 4 = 0 OR doc_id % 10 = 9), fresh AS (SELECT * FROM later WHERE doc_id % 4 = 0), {_windows('was', 'touched', 'doc_id')}, {_windows('now', 'fresh', 'doc_id')},
+a AS (SELECT doc_id, win, start, "end" FROM now EXCEPT SELECT doc_id, win, start, "end" FROM was), r AS (SELECT doc_id, win, start, "end" FROM was EXCEPT SELECT doc_id, win, start, "end" FROM now)
+SELECT doc_id, sum(x)::BIGINT AS n_added, sum(y)::BIGINT AS n_removed FROM (SELECT doc_id, 1 AS x, 0 AS y FROM a UNION ALL SELECT doc_id, 0, 1 FROM r) GROUP BY 1""",
         "false_positives": _false_positives(),
         "unwrapped_paragraphs": _unwrapped(),
         "latency_percentiles": _percentiles(),

@@ -14,6 +14,11 @@ MATCHES = "array<struct<start:int,end:int,value:string>>"
 FOLDED = 64
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often and in whatever lambda it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def before_each(values: Column, zero: Column, merge: Callable[[Column, Column], Column], kind: str = "int") -> Column:
     """For each element what ``merge``, which is associative, makes of all elements before it.
 
@@ -25,11 +30,12 @@ def before_each(values: Column, zero: Column, merge: Callable[[Column, Column],
         start = F.struct(first.alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
         return F.aggregate(own, start, lambda s, x: F.struct(merge(s["now"], x).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")), lambda s: s["out"])
 
-    count = F.ceil(F.size(values) / FOLDED).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(values, k * FOLDED + 1, FOLDED))
-    totals = F.transform(parts, lambda part: F.aggregate(part, zero, merge))
-    whole = F.flatten(F.zip_with(parts, scan(totals, zero), scan))
-    return F.when(F.size(values) <= FOLDED, scan(values, zero)).otherwise(whole)
+    def in_parts(v: Column) -> Column:
+        count = F.ceil(F.size(v) / FOLDED).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(v, k * FOLDED + 1, FOLDED))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, scan(F.transform(p, lambda part: F.aggregate(part, zero, merge)), zero), scan)))
+
+    return let(values, lambda v: F.when(F.size(v) <= FOLDED, scan(v, zero)).otherwise(in_parts(v)))
 
 
 def find_all(text: Column, pattern: str) -> Column:
@@ -38,33 +44,35 @@ def find_all(text: Column, pattern: str) -> Column:
     What stands between matches and the matches themselves, laid end to end, are the
     text: their lengths give the places. Patterns never match the empty string.
     """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(values))
-    pairs = F.zip_with(between, values, lambda gap, value: F.struct(F.length(gap).alias("gap"), F.length(value).alias("size"), value.alias("value")))
-    begun = before_each(F.transform(pairs, lambda p: p["gap"] + p["size"]), F.lit(0), lambda a, b: a + b)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("between"))
+
+    def pairs(m: Column) -> Column:
+        return F.zip_with(F.slice(m["between"], F.lit(1), F.size(m["values"])), m["values"], lambda gap, value: F.struct(F.length(gap).alias("gap"), F.length(value).alias("size"), value.alias("value")))
 
     def placed(p: Column, at: Column) -> Column:
         return F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("end"), p["value"].alias("value"))
 
-    return F.when(text.rlike(pattern), F.zip_with(pairs, begun, placed)).otherwise(F.array().cast(MATCHES))
+    def places(p: Column) -> Column:
+        return F.zip_with(p, before_each(F.transform(p, lambda x: x["gap"] + x["size"]), F.lit(0), lambda a, b: a + b), placed)
+
+    return F.when(text.rlike(pattern), let(let(found, pairs), places)).otherwise(F.array().cast(MATCHES))
 
 
 def mask(text: Column, spans: Column, by: str = "*") -> Column:
     """The text with each span's characters replaced, its length unchanged; spans may overlap."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(F.greatest(s["start"], F.lit(0)).alias("start"), s["end"].alias("end"))))
-    reached = before_each(F.transform(ordered, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
-    letters = F.split(text, "")
 
-    def piece(letters: Column) -> Callable[[Column, Column], Column]:
-        def made(s: Column, at: Column) -> Column:
-            plain = F.array_join(F.slice(letters, at + 1, F.greatest(s["start"] - at, F.lit(0))), "")
-            hidden = F.greatest(F.least(s["end"], F.size(letters)) - F.greatest(s["start"], at), F.lit(0))
+    def pieces(b: Column) -> Column:
+        def piece(s: Column, at: Column) -> Column:
+            plain = F.array_join(F.slice(b["letters"], at + 1, F.greatest(s["start"] - at, F.lit(0))), "")
+            hidden = F.greatest(F.least(s["end"], F.size(b["letters"])) - F.greatest(s["start"], at), F.lit(0))
             return F.concat(plain, F.repeat(F.lit(by), hidden))
 
-        return made
+        reached = before_each(F.transform(b["ordered"], lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+        last = F.greatest(F.array_max(F.transform(b["ordered"], lambda s: s["end"])), F.lit(0))
+        return F.concat(F.array_join(F.zip_with(b["ordered"], reached, piece), ""), F.array_join(F.slice(b["letters"], last + 1, F.size(b["letters"])), ""))
 
-    both = F.struct(letters.alias("letters"), ordered.alias("ordered"), reached.alias("reached"), F.array_max(F.transform(ordered, lambda s: s["end"])).alias("last"))
-    whole = F.get(F.transform(F.array(both), lambda b: F.concat(F.array_join(F.zip_with(b["ordered"], b["reached"], piece(b["letters"])), ""), F.array_join(F.slice(b["letters"], F.greatest(b["last"], F.lit(0)) + 1, F.size(b["letters"])), ""))), F.lit(0))
+    whole = let(F.struct(F.split(text, "").alias("letters"), ordered.alias("ordered")), pieces)
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakloom.functions.spans import find_all
 from leakloom.functions.text import WHITE
 
 CELL_GAP = " | "
@@ -19,8 +19,17 @@ AROUND = 10
 
 
 def word_positions(text: Column) -> Column:
-    """array<struct<index, start, end, word>> of runs without white space."""
-    return F.transform(find_all(text, WORD), lambda m, i: F.struct(i.alias("index"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("word")))
+    """array<struct<index, start, end, word>> of runs without white space.
+
+    One scan of the text in an Arrow batch: texts have tens of thousands of words, and
+    ``find_all`` takes ten times as long where nearly all of a text is matches.
+    """
+
+    @F.pandas_udf("array<struct<index:int,start:int,end:int,word:string>>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else [{"index": i, "start": m.start(), "end": m.end(), "word": m[0]} for i, m in enumerate(re.finditer(r"\S+", x))])
+
+    return words(text)
 
 
 def word_indices(text: Column, start: Column, end: Column) -> Column:

@@ -96,7 +96,9 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     by segment, and repeated rows are turns of their own. ``source`` is a digest of the
     turn as it came, for the reader of the whole to compare. ``loss`` is the place
     (start, end) in the segment of a text to learn from, null for other roles. A null
-    role or text is the empty one; rows of a null conversation form one conversation.
+    role or text is the empty one, a text of any length is one turn; rows of a null
+    conversation form one conversation; an empty table gives no rows. Only the four columns
+    named reach the operator, so others may have any name.
     """
     rows = turns.select(turns[conv_col].cast("long").alias("conv"), turns[turn_col].cast("long").alias("turn"), F.coalesce(turns[role_col].cast("string"), F.lit("")).alias("role"), F.coalesce(turns[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("source", F.sha2(F.concat_ws("\n", "role", "text").cast("binary"), 256))

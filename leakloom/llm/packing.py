@@ -47,7 +47,8 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     A document is its ids and then ``end_id``. Where it is longer than ``capacity``
     every piece is full but the first. A null or empty text is ``end_id`` alone; a
-    repeated row makes its pieces again; an empty table gives no rows.
+    repeated row makes its pieces again; an empty table gives no rows. Only id and text
+    reach the operator, so other columns may have any name.
     """
     model = docs.sparkSession.sparkContext.broadcast(file_bytes(docs.sparkSession, vocabulary))
 

@@ -145,7 +145,8 @@ def scan(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     """Each document with its spans: id, spans array<struct<kind, start, end>>.
 
     Null and empty texts have no spans. Whole texts are read whatever their length;
-    repeated rows are scanned like any other; an empty table gives no rows.
+    repeated rows are scanned like any other; an empty table gives no rows. Only id and
+    text reach the operator, so other columns may have any name.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(file_bytes(docs.sparkSession, ranks_path))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -261,8 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without words share the fingerprint zero and are linked like any others.
     Repeated rows keep a row each; rows of one id are one node. A row without an id is in
-    the component of the texts like its own, but links nothing to it. An empty table
-    gives no rows.
+    the component of the texts like its own, but links nothing to it. A text of any length
+    is read whole; fingerprints right at the budget are linked; an empty table gives no
+    rows. Only id and text reach the operator, so other columns may have any name.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("node"))
@@ -514,6 +515,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     That is the one with the group's smallest id; of several rows with this id, the one
     whose text comes first. Rows without an id have nothing to be told apart by and stay.
+    Null and empty texts are copies of each other; texts right at the similarity are
+    alike; an empty table gives no rows; columns of any name pass through.
     """
     found = similar_components(docs, id_col, text_col, shingle, similarity, key_bits=key_bits)
     kept, several = _free(docs, "kept"), _free(docs, "several")

@@ -273,7 +273,9 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """Documents with their ids (little-endian unsigned 32-bit) and the text these decode to.
 
     A null or empty text, or one of white space alone, has no ids and decodes to the
-    empty text. Repeated rows are encoded like any other; an empty table gives no rows.
+    empty text. A text of any length is encoded whole; repeated rows are encoded like any
+    other; an empty table gives no rows. Only id and text reach the operator, so other
+    columns may have any name.
     """
     model = docs.sparkSession.sparkContext.broadcast(file_bytes(docs.sparkSession, vocabulary))
 

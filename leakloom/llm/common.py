@@ -24,6 +24,14 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Arrow batches to and from Python workers; rows of long texts are few in one, so that a worker's memory is bounded.
 BATCH_BYTES = 4 << 20
 

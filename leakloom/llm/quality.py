@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakloom.llm.common import held_out, in_batches, narrow
+from leakloom.llm.common import free_name, held_out, in_batches, narrow
 from leakloom.session import checkpointed
 
 FEATURES = 256
 RIDGE = 3e-3
 BINS = 512
 SEED = 9
+#: Labelled ids that are broadcast, at most (8 bytes each).
+LISTED = 1 << 22
 #: Partial sums that are added up in one task.
 FAN_IN = 16
 NAMES = ("chars", "words", "lines", "letters", "upper", "digits", "space", "beyond_ascii", "full_stops", "commas", "exclamations", "pipes", "symbols", "word_length", "word_spread", "distinct_words", "common_word", "capitals", "shouts", "wordless", "line_length", "repeated_lines", "byte_entropy", "odd_ends")
@@ -140,6 +142,18 @@ def isotonic(totals: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), t / w) for t, w, k in blocks]) if blocks else np.zeros(0)
 
 
+def to_learn_from(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", modulus: int = 3, remainder: int = 1, limit: int = LISTED) -> DataFrame:
+    """The rows of ``docs`` that ``fit`` learns from, if a count proves that their ids fit a broadcast; else all of them.
+
+    Either way the same model is learnt; this only spares the statistics of other rows.
+    """
+    learnt = free_name(docs, "learnt")
+    ids = labels.filter(F.col(label_col).cast("double").isNotNull()).select(F.col(id_col).cast("long").alias(learnt)).dropna().filter(~held_out(F.col(learnt), modulus, remainder)).distinct()
+    if ids.limit(limit + 1).count() > limit:
+        return docs
+    return docs.join(F.broadcast(ids), docs[id_col].cast("long") == F.col(learnt), "left_semi")
+
+
 def fit(stats: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", modulus: int = 3, remainder: int = 1, features: int = FEATURES, ridge: float = RIDGE) -> QualityModel:
     """A model from the labelled rows whose id's CRC-32 does not leave ``remainder``.
 

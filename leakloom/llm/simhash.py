@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakloom.llm.common import in_batches, narrow
+from leakloom.llm.common import free_name, in_batches, narrow
 from leakloom.llm.components import connected_components
 from leakloom.session import checkpointed
 
@@ -519,7 +519,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alike; an empty table gives no rows; columns of any name pass through.
     """
     found = similar_components(docs, id_col, text_col, shingle, similarity, key_bits=key_bits)
-    kept, several = _free(docs, "kept"), _free(docs, "several")
+    kept, several = free_name(docs, "kept"), free_name(docs, "several")
     first = found.filter("id = component_id").select(F.col("id").alias(kept)).distinct()
     left = docs.join(first, docs[id_col].cast("long") == F.col(kept), "left_semi")
     nameless = docs.filter(docs[id_col].isNull())
@@ -529,13 +529,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return left.withColumn(several, F.row_number().over(order)).filter(F.col(several) == 1).drop(several).unionByName(nameless)
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def _same_id(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the nodes of one id that stands in several rows."""
     several = prints.groupBy("id").agg(F.min(F.xxhash64("fingerprint")).alias("low"), F.max(F.xxhash64("fingerprint")).alias("high")).filter("low <> high and id is not null").select("id")

@@ -7,6 +7,7 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leakloom.llm import language_id, quality, toxicity
 
@@ -160,6 +161,15 @@ def test_isotonic(pairs):
         assert abs(residual.sum()) < 1e-9 and (np.cumsum(residual) >= -1e-9).all()
 
 
+def test_the_same_is_learnt_from_all_rows_and_from_those_that_are_labelled(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").withColumn("Learnt", F.lit(1)), spark.read.parquet(f"{sf}/labels.parquet")
+    few = quality.to_learn_from(docs, labels, "quality")
+    assert 0 < few.count() < docs.count() and quality.to_learn_from(docs, labels, "quality", limit=3).count() == docs.count()
+    one, other = (quality.fit(quality.document_statistics(x), labels, "quality") for x in (few, docs))
+    assert one.weights == pytest.approx(other.weights) and one.levels == pytest.approx(other.levels)
+
+
 def test_quality_of_awkward_documents(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 0, None), (4, 1, 0), (4, None, 1), (5, 1, 1), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     rows = quality.quality(awkward, labels).collect()

@@ -30,8 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay; repeated rows stay or go together; whole texts count whatever their length; an
     empty table stays empty; extra columns of any name pass through.
     """
-    stats = quality_scores.checkpointed(quality_scores.document_statistics(docs))
-    return quality_scores.kept(docs, quality_scores.fit(stats, _labels(spark, sf_dir), "quality"))
+    labels = _labels(spark, sf_dir)
+    stats = quality_scores.document_statistics(quality_scores.to_learn_from(docs, labels, "quality"))
+    return quality_scores.kept(docs, quality_scores.fit(stats, labels, "quality"))
 
 
 def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

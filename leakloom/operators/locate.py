@@ -146,6 +146,7 @@ def locate(index: DataFrame, places: DataFrame) -> DataFrame:
 
 def described(located: DataFrame) -> Column:
     """One line that tells people where a located place is."""
+    # What people are told.
     has = lambda c: F.col(c) if c in located.columns else F.lit(None)
     bits = F.concat_ws(
         ", ",

@@ -41,10 +41,20 @@ def shared_windows(postings: DataFrame) -> DataFrame:
     return postings.select("hash", "doc_id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= SHARED_BY)
 
 
+def _side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Each posting of either index once, with ``x`` where the first has it and ``y`` where the other does.
+
+    Both sides are read once and meet in one aggregate, which combines repeats before the shuffle.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    both = one.select(*POSTING, yes.alias("x"), no.alias("y")).unionByName(other.select(*POSTING, no.alias("x"), yes.alias("y")))
+    return both.groupBy(*POSTING).agg(F.max("x").alias("x"), F.max("y").alias("y"))
+
+
 def postings_diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What to add and what to remove to get from ``old`` to ``new``."""
-    old, new = old.select(*POSTING).distinct(), new.select(*POSTING).distinct()
-    return new.join(old, POSTING, "left_anti"), old.join(new, POSTING, "left_anti")
+    changed = checkpointed(_side_by_side(old, new).filter("x <> y"))
+    return changed.filter("y").select(*POSTING), changed.filter("x").select(*POSTING)
 
 
 def replace_postings(current: DataFrame, new: DataFrame, documents: DataFrame) -> DataFrame:
@@ -121,9 +131,8 @@ def ledger_counts(postings: DataFrame) -> DataFrame:
 
 def index_parity(one: DataFrame, other: DataFrame) -> DataFrame:
     """Per document: postings in both, only in the first, only in the second."""
-    a, b = one.select(*POSTING).distinct().withColumn("x", F.lit(1)), other.select(*POSTING).distinct().withColumn("y", F.lit(1))
-    both = a.join(b, POSTING, "full_outer")
-    return both.groupBy("doc_id").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("in_both"), F.count_if(F.col("y").isNull()).alias("only_first"), F.count_if(F.col("x").isNull()).alias("only_second"))
+    both = _side_by_side(one, other)
+    return both.groupBy("doc_id").agg(F.count_if(F.col("x") & F.col("y")).alias("in_both"), F.count_if(~F.col("y")).alias("only_first"), F.count_if(~F.col("x")).alias("only_second"))
 
 
 # --- states ----------------------------------------------------------------------

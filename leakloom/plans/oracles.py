@@ -6,8 +6,14 @@ hashes, and offsets come from lists of characters.
 
 from __future__ import annotations
 
-from leakloom.functions import text as t
-from leakloom.operators.windows import BASE, MODULUS, MULTIPLIER, WINDOW
+# Fixed values, written out here so that a wrong table in the library is not wrong on both sides.
+WINDOW, MODULUS, BASE, MULTIPLIER = 30, 2305843009213693951, 1000003, 11400714819323198485
+KEPT = "가-힣A-Za-z0-9"
+INVISIBLE = "\u200b\u200c\u200d\ufeff\u2060\u00ad"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+SPACES = "\t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+APOSTROPHES, QUOTES = "\u2018\u2019\u2032", "\u201c\u201d\u2033"
+DASHES, BULLETS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "\u2022\u25cf\u25aa\u25e6\u2023\u2043\u00b7"
 
 
 def _quoted(s: str) -> str:
@@ -15,17 +21,16 @@ def _quoted(s: str) -> str:
 
 
 def _normal(column: str) -> str:
-    source = t.SPACES + t.APOSTROPHES + t.QUOTES + t.DASHES + t.BULLETS
-    target = " " * len(t.SPACES) + "'" * len(t.APOSTROPHES) + '"' * len(t.QUOTES) + "-" * (len(t.DASHES) + len(t.BULLETS))
+    source = SPACES + APOSTROPHES + QUOTES + DASHES + BULLETS
+    target = " " * len(SPACES) + "'" * len(APOSTROPHES) + '"' * len(QUOTES) + "-" * (len(DASHES) + len(BULLETS))
     out = f"nfc_normalize(replace(replace(coalesce({column}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)))"
-    out = f"regexp_replace(translate({out}, {_quoted(t.INVISIBLE)}, ''), '{t.CONTROL}', '', 'g')"
+    out = f"regexp_replace(translate({out}, {_quoted(INVISIBLE)}, ''), '{CONTROL}', '', 'g')"
     out = f"translate({out}, {_quoted(source)}, {_quoted(target)})"
     out = f"regexp_replace(regexp_replace(regexp_replace({out}, ' +\\n', chr(10), 'g'), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
     strip = "[\\n \\x{85}\\x{1680}\\x{2028}\\x{2029}]"
     return f"regexp_replace({out}, '\\A{strip}+|{strip}+\\z', '', 'g')"
 
 
-KEPT = t.KEPT
 COMPACT = f"lower(regexp_replace(normal, '[^{KEPT}]', '', 'g'))"
 DOCS = f"docs AS MATERIALIZED (SELECT doc_id, {_normal('text')} AS normal FROM documents)"
 ITEMS = f"items AS MATERIALIZED (SELECT item_id, {_normal('text')} AS normal FROM benchmark)"

@@ -20,32 +20,28 @@ class Store(Protocol):
         """Add rows, all or none of them."""
 
 
-#: Folders that a table's rows are dealt into by their ids, so that a batch looks for its own in those alone.
-PARTS = 64
-
-
 @dataclass
 class TableStore:
-    """A Parquet table, in parts by id. One query writes to it at a time."""
+    """A Parquet table, a folder for each day of ``ts``. One query writes to it at a time.
 
-    path: str
+    A decision keeps its time, so one that is sent again is looked for in its own day
+    alone, however large the table has become.
+    """
 
-    def _part(self) -> object:
-        return F.pmod(F.crc32(F.col("decision_id").cast("binary")), F.lit(PARTS)).cast("int").alias("part")
+    path: str
 
     def known(self, rows: DataFrame) -> DataFrame:
         spark = rows.sparkSession
         if not exists(spark, self.path):
             return rows.select("decision_id").limit(0)
-        parts = [r["part"] for r in rows.select(self._part()).distinct().collect()]  # at most PARTS
-        stored = spark.read.parquet(self.path).filter(F.col("part").isin(parts)).select("decision_id")
-        return stored.join(rows.select("decision_id"), "decision_id", "left_semi")
+        days = [r["day"] for r in rows.select(F.to_date("ts").alias("day")).distinct().collect()]  # of one batch
+        return spark.read.parquet(self.path).filter(F.col("day").isin(days)).select("decision_id")
 
     def append(self, rows: DataFrame) -> None:
-        rows.select("*", self._part()).write.mode("append").partitionBy("part").parquet(self.path)
+        rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(self.path)
 
     def read(self, spark) -> DataFrame:
-        return spark.read.parquet(self.path).drop("part")
+        return spark.read.parquet(self.path).drop("day")
 
 
 def checked_name(name: str) -> str:

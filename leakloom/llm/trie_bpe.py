@@ -28,7 +28,7 @@ from leakloom.llm.common import BATCH_BYTES, file_bytes, in_batches, narrow
 #: The words of the vocabulary's pre-tokenizer, with Unicode's white space spelt out.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
 #: Words that a worker remembers, twice over: when there are more, those not met since the last time are forgotten.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Pairs of tokens that it remembers.
 PAIRS = 400_000
 #: Longer words are met one by one and not remembered.

@@ -17,6 +17,7 @@ from leakloom.session import checkpointed
 HASH, SIGNATURE, NONE = "windowhash", "signature", "none"
 # What users are told.
 MESSAGE_DOCUMENT = "사내 기밀문서 내용이 포함되어 전송이 차단되었습니다. 문의 시 요청 번호를 알려주세요."
+MESSAGE_DEFAULT = "Request blocked by AI Security Gateway."
 MESSAGE_PERSONAL = "개인정보로 보이는 내용이 포함되어 전송이 차단되었습니다. 문의 시 요청 번호를 알려주세요."
 #: The columns of a logged decision, in order.
 LOGGED = ["decision_id", "request_id", "ts", "service", "format", "text_chars", "blocked", "decided_by", "doc_id", "doc_span", "input_span", "score", "pii_hits", "reason", "hash_status", "signature_status", "total_ms", "prompt"]
@@ -136,7 +137,7 @@ def gateway_decision(blocked: Column, decided_by: Column) -> Column:
 
 def enforced(decision: Column, request_id: Column) -> Column:
     """struct<http_status, body>: the answer to a blocked request; null for one that passes, degraded or not."""
-    body = F.to_json(F.struct(F.struct(F.lit("policy_violation").alias("type"), F.coalesce(decision["user_message"], F.lit("Request blocked by AI Security Gateway.")).alias("message"), decision["reason_code"].alias("reason_code"), request_id.alias("request_id")).alias("error")))
+    body = F.to_json(F.struct(F.struct(F.lit("policy_violation").alias("type"), F.coalesce(decision["user_message"], F.lit(MESSAGE_DEFAULT)).alias("message"), decision["reason_code"].alias("reason_code"), request_id.alias("request_id")).alias("error")))
     return F.when(decision["action"] == "block", F.struct(F.coalesce(decision["http_status"], F.lit(403)).alias("http_status"), body.alias("body")))
 
 

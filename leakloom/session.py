@@ -49,6 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", "")
+    given = context._jsc.sc().getCheckpointDir()  # set by a program instead
+    if not named and given.isDefined():
+        return given.get()
     if not named and not re.match(r"local($|\[)", context.master):
         raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")

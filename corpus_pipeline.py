@@ -8,9 +8,11 @@ the one before it kept.
 from __future__ import annotations
 
 import atexit
+from contextlib import suppress
 from uuid import uuid4
 
 import public_tokenizers
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,5 +109,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _removed(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:  # the session was stopped before the driver ended
         return
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    with suppress(Py4JError, OSError):  # or its Java side is gone
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakloom.functions.text import normalize_text
+from leakloom.operators import overlap
 from leakloom.operators.windows import WINDOW, windows
 from leakloom.session import checkpointed
 
@@ -36,11 +37,25 @@ def identifying_counts(postings: DataFrame) -> DataFrame:
     return of_hash.groupBy("doc_id").agg(F.sum("n").alias("n_postings"))
 
 
+def identifying_counts_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``identifying_counts`` of documents that have no postings yet: where their ids are whole numbers, no posting is shuffled."""
+    if not overlap.compares(documents, id_col, window):
+        return identifying_counts(build_postings(documents, id_col, text_col, window))
+    return overlap.identifying_counts(documents.select(id_col, normalize_text(F.col(text_col)).alias("_normal")), id_col, "_normal", window)
+
+
 def shared_windows(postings: DataFrame) -> DataFrame:
     """(hash, n_docs) of the windows that identify no document."""
     return postings.select("hash", "doc_id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= SHARED_BY)
 
 
+def shared_counts_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(n_docs, n_windows): how many windows of the documents stand in so many of them, two at least."""
+    if not overlap.compares(documents, id_col, window):
+        return shared_windows(build_postings(documents, id_col, text_col, window)).groupBy("n_docs").agg(F.count(F.lit(1)).alias("n_windows"))
+    return overlap.shared_counts(documents.select(id_col, normalize_text(F.col(text_col)).alias("_normal")), id_col, "_normal", window)
+
+
 def _side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
     """Each posting of either index once, with ``x`` where the first has it and ``y`` where the other does.
 

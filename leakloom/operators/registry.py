@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakloom.functions.text import normalize_text
 from leakloom.operators import overlap
-from leakloom.operators.windows import WINDOW, windows
-from leakloom.session import checkpointed
+from leakloom.operators.windows import WINDOW, changed_windows, windows
+from leakloom.session import checkpointed, ship_package
 
 POSTING = ["hash", "doc_id", "start", "end"]
 #: Windows in as many documents as this identify none of them.
@@ -72,6 +75,42 @@ def postings_diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
     return changed.filter("y").select(*POSTING), changed.filter("x").select(*POSTING)
 
 
+def changed_counts(old: DataFrame, new: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_added, n_removed): how many postings ``postings_diff`` would add and remove, of documents that it changes.
+
+    A posting names its document, so it is enough that both states of a document meet:
+    their texts are dealt out by id, and only those that differ are cut into windows.
+    """
+    ship_package(old.sparkSession)
+    state = lambda df, is_new: df.select(F.col(id_col).alias("doc_id"), F.lit(is_new).alias("_new"), normalize_text(F.col(text_col)).alias("_text"))
+    both = state(old, False).unionByName(state(new, True)).repartition("doc_id").sortWithinPartitions("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, texts = None, False, (set(), set())
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            found = []
+            for doc_id, new, text in zip(*batch.columns, strict=True):
+                doc_id = doc_id.as_py()
+                if not known or doc_id != at:
+                    if texts[0] != texts[1]:
+                        found.append((at, *changed_windows(*texts, window)))
+                    at, known, texts = doc_id, True, (set(), set())
+                texts[new.as_py()].add(text.as_py())
+            yield _counted(found, kind)
+        if texts[0] != texts[1]:
+            yield _counted([(at, *changed_windows(*texts, window))], kind)
+
+    counted = both.mapInArrow(run, f"doc_id {both.schema['doc_id'].dataType.simpleString()}, n_added long, n_removed long")
+    return counted.filter("n_added > 0 or n_removed > 0")
+
+
+def _counted(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = [list(x) for x in zip(*found, strict=True)] or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (kind, pa.int64(), pa.int64()), strict=True)], ["doc_id", "n_added", "n_removed"])
+
+
 def replace_postings(current: DataFrame, new: DataFrame, documents: DataFrame) -> DataFrame:
     """``current`` with the postings of ``documents`` (doc_id) replaced by ``new``.
 

@@ -91,3 +91,25 @@ def test_a_bucket_in_turns(most):
         seen |= set(hashes.tolist())
         found += names[codes].tolist()
     assert sorted(found) == sorted(k for k, t in zip(ids.tolist(), texts, strict=True) for _ in range(len(t) - 29))
+
+
+def test_changed_counts(spark):
+    """As the postings' difference has it, with repeated ids, ids that are missing, and places that move."""
+    g = random.Random(6)
+    long = lambda n: " ".join(g.choice(["alpha", "beta2", "가나다", "x", "- |"]) for _ in range(n))
+    old = [(k, long(g.randrange(5, 60))) for k in range(30)] + [(40, long(20)), (40, long(20)), (41, "a" * 80), (42, long(30)), (43, None), (None, long(30)), (44, "short")]
+    new = [(k, t if k % 3 else f"Changed. {t}" if k % 2 else t[: len(t) // 2] + "  " + t[len(t) // 2 :]) for k, t in old[:30] if k % 7] + [old[31], (40, long(20)), old[31], (41, "a" * 83), (43, long(15)), (45, long(25)), (44, "other")]
+    one, other = (spark.createDataFrame(x, "doc_id long, text string").repartition(3) for x in (old, new))
+    added, removed = registry.postings_diff(registry.build_postings(one), registry.build_postings(other))
+    expected = Counter()
+    for rows, sign in ((added, 0), (removed, 1)):
+        for r in rows.groupBy("doc_id").count().collect():
+            expected[r["doc_id"], sign] = r["count"]
+    got = {(r["doc_id"], k): n for r in registry.changed_counts(one, other).collect() for k, n in enumerate((r["n_added"], r["n_removed"])) if n}
+    assert got == dict(expected) and {k for k, _ in got} >= {40, 41, 42, 43, 45, None}
+
+
+def test_changed_counts_shuffle_no_windows(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plan = registry.changed_counts(docs, docs.filter("doc_id % 10 <> 9"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hash" not in plan.split("Exchange")[-1].split("\n", 1)[1]
